@@ -35,12 +35,12 @@ def pad_batch(df: DataFrame, batch_size: int, pad_id: int | None = 0, pos: str =
     pad_id = 0 if pad_id is None else pad_id
     d = default_features(df).withColumn("batch", F.floor(F.col(pos) / batch_size).cast("bigint"))
     w = Window.partitionBy("batch")
-    d = d.withColumn("_m", F.max(F.size("input_ids")).over(w))
-    extra = F.col("_m") - F.size("input_ids")
-    return (d.withColumn("input_ids", F.concat("input_ids", F.array_repeat(F.lit(pad_id), extra)))
-            .withColumn("attention_mask", F.concat("attention_mask", F.array_repeat(F.lit(0), extra)))
+    d = d.withColumn("_pad", F.max(F.size("input_ids")).over(w) - F.size("input_ids"))
+    extra = F.col("_pad")
+    return (d.withColumn("attention_mask", F.concat("attention_mask", F.array_repeat(F.lit(0), extra)))
             .withColumn("labels", F.concat("labels", F.array_repeat(F.lit(IGNORE_INDEX), extra)))
-            .drop("_m"))
+            .withColumn("input_ids", F.concat("input_ids", F.array_repeat(F.lit(pad_id), extra)))
+            .drop("_pad"))
 
 
 def completion_mask(df: DataFrame, template: list[int]) -> DataFrame:

@@ -17,11 +17,9 @@ TYPE_MAP = {"text": "TEXT", "number": "INTEGER", "time": "TEXT", "boolean": "INT
 DEFAULT_SQL_TYPE = "TEXT"
 # ---------------------------------------------------------------------------
 
-_TYPE_MAP_COL = F.create_map(*[F.lit(x) for kv in TYPE_MAP.items() for x in kv])
-
-
 def sql_type(raw) -> Column:
-    return F.coalesce(F.try_element_at(_TYPE_MAP_COL, raw), F.lit(DEFAULT_SQL_TYPE))
+    type_map = F.create_map(*[F.lit(x) for kv in TYPE_MAP.items() for x in kv])
+    return F.coalesce(F.try_element_at(type_map, raw), F.lit(DEFAULT_SQL_TYPE))
 
 
 def _at(arr, i0) -> Column:

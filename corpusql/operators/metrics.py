@@ -107,7 +107,7 @@ def failure_sample(predictions: DataFrame, n: int = 10) -> DataFrame:
     per-task group limit before the shuffle, so a hot mode ships n rows per task."""
     fails = predictions.where(~F.col("exec_match"))
     w = Window.partitionBy("mode").orderBy("index")
-    top = fails.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    top = fails.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= n)
     totals = fails.groupBy("mode").agg(F.count("*").alias("n_failures"))
     return top.join(totals, "mode").select(
         "mode", "rank", "index", "db_id", "gold_sql", "pred_sql", "pred_error",

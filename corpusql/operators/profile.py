@@ -14,7 +14,7 @@ from corpusql.functions.text import word_count
 
 
 def _len_stats(col: str, alias: str) -> list:
-    n = F.length(col)
+    n = F.length(col).cast("bigint")
     return [F.min(n).alias(f"min_{alias}"), F.max(n).alias(f"max_{alias}"),
             (F.sum(n).cast("double") / F.count(F.lit(1))).alias(f"avg_{alias}")]
 
@@ -29,7 +29,7 @@ def split_stats(examples: DataFrame) -> DataFrame:
 
 def length_profile(examples: DataFrame) -> DataFrame:
     """One dataset: rows, databases, schema/query length, question length in words."""
-    words = word_count("question")
+    words = word_count("question").cast("bigint")
     return examples.agg(
         F.count("*").alias("n_examples"),
         F.countDistinct("db_id").alias("n_databases"),

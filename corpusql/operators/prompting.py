@@ -82,7 +82,7 @@ def select_few_shot(test: DataFrame, train: DataFrame, k: int, seed: int,
     ordered = F.array_sort(F.transform(picks, lambda p: F.struct(
         hash_key(F.lit(seed), idx, p).alias("k"), p.alias("p"))))
     drawn = (t.select(index_col, "_start", "_n", F.posexplode(ordered).alias("slot", "_pk"))
-             .select(index_col, (F.col("slot") + 1).alias("slot"),
+             .select(index_col, (F.col("slot") + 1).cast("bigint").alias("slot"),
                      F.when(F.col("_pk.p") < F.col("_start"), F.col("_pk.p"))
                      .otherwise(F.col("_pk.p") + F.col("_n")).alias("g")))
     return (drawn.join(ranked, "g")

@@ -55,7 +55,7 @@ def q_write_splits(spark, sf):
 def q_write_metadata(spark, sf):
     path = scratch_path(spark, "metadata")
     md = writers.conversion_metadata(fx.split_examples(spark, sf), fx.catalog(spark, sf),
-                                     source=sf, val_ratio=fx.VAL_RATIO, seed=fx.SEED)
+                                     source="documents", val_ratio=fx.VAL_RATIO, seed=fx.SEED)
     writers.write_metadata(md, path)
     back = spark.read.schema(md.schema).json(path)
     return back.select("source", "val_ratio", "seed",
