@@ -51,8 +51,9 @@ def completion_mask(df: DataFrame, template: list[int]) -> DataFrame:
     ids = F.col("input_ids")
     starts = F.when(F.size(ids) >= L, F.filter(F.sequence(F.lit(1), F.size(ids) - L + 1),
                                                lambda j: F.slice(ids, j, L) == tmpl))
-    last = F.array_max(starts)
-    end = last + (L - 1)   # 1-based index of the template's last token
+    # materialized once per row, not re-evaluated inside the per-element lambda
+    d = df.withColumn("_end", F.array_max(starts) + (L - 1))   # 1-based index of the template's last token
+    end = F.col("_end")
     masked = F.transform("labels", lambda x, i: F.when(i < end, F.lit(IGNORE_INDEX)).otherwise(x))
-    return df.withColumn("labels", F.when(last.isNull(), F.transform("labels", lambda x: F.lit(IGNORE_INDEX)))
-                         .otherwise(masked))
+    return d.withColumn("labels", F.when(end.isNull(), F.transform("labels", lambda x: F.lit(IGNORE_INDEX)))
+                        .otherwise(masked)).drop("_end")

@@ -43,11 +43,15 @@ def dense_positions(df: DataFrame, order_cols: list, name: str = "g",
         offsets.append(acc)
         acc += counts.get(p, 0)
     if not offsets:
-        return ordered.withColumn(name, F.lit(None).cast("bigint"))
+        out = ordered.withColumn(name, F.lit(None).cast("bigint"))
+        out.total_rows = 0
+        return out
     offset_of = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]),
                              (pid + 1).cast("int"))
-    return (tagged.withColumn(name, offset_of + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
-            .drop("_mid"))
+    out = (tagged.withColumn(name, offset_of + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
+           .drop("_mid"))
+    out.total_rows = acc   # row count, known from the per-partition counts
+    return out
 
 
 def bucket_of(pos: Column | str, size: int) -> Column:

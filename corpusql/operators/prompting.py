@@ -59,7 +59,7 @@ def select_few_shot(test: DataFrame, train: DataFrame, k: int, seed: int,
         train.select("db_id", "schema", "question", "output", "pos",
                      F.length("schema").alias("_slen")),
         ["_slen", "db_id", "pos"], name="g")
-    n_train = ranked.count()
+    n_train = ranked.total_rows
     stats = ranked.groupBy("db_id").agg(F.min("g").alias("_start"), F.count("*").alias("_n"))
 
     t = (test.select(*t_cols)
