@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusql.functions.sqltext import execution_text
-from corpusql.session import scratch_path
+from corpusql.session import scratch_path, shared_root
 from corpusql.sources.registry import DatabaseSessions
 
 STATUS_SCHEMA = T.StructType([
@@ -137,6 +137,10 @@ def execution_accuracy(spark: SparkSession, pairs: DataFrame, sessions: Database
     error). Queries are executed once per distinct text; result multisets are
     compared once per distinct (gold, pred) query pair.
     """
+    # The pair table feeds the executions and six verdict branches: cut its lineage
+    # once (reliable checkpoint in the shared folder) so it is derived a single time.
+    shared_root(spark)
+    pairs = pairs.select("example_id", "db_id", "gold_sql", "pred_sql").checkpoint(eager=True)
     sides = (pairs.select("db_id", F.col("gold_sql").alias("sql"))
              .unionByName(pairs.select("db_id", F.col("pred_sql").alias("sql"))))
     rows, status = execute_queries(spark, sides, sessions, max_workers)
