@@ -47,11 +47,10 @@ def split_by_database(examples: DataFrame, val_ratio: float, seed: int,
     """
     key = F.struct(hash_key(F.lit(seed), F.col("db_id")).alias("k"), F.col("db_id").alias("d"))
     ids = examples.select("db_id").distinct().where(F.col("db_id").isNotNull())
-    n_db = ids.count()
-    n_val = n_validation_databases(n_db, val_ratio)
+    ranked = dense_positions(ids.select("db_id", key.alias("_key")), ["_key"], name="_g")
+    n_val = n_validation_databases(ranked.total_rows, val_ratio)
     if n_val == 0:
         return examples.withColumn("split", F.lit(train_name))
-    ranked = dense_positions(ids.select("db_id", key.alias("_key")), ["_key"], name="_g")
     cut = ranked.where(F.col("_g") == n_val - 1).select("_key").first()["_key"]
     threshold = F.struct(F.lit(cut["k"]).alias("k"), F.lit(cut["d"]).alias("d"))
     return examples.withColumn(
