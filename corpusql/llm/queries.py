@@ -1,9 +1,10 @@
 """Registered queries of the operators and their DuckDB SQL."""
 
-from corpusql.llm import mixing
+from corpusql.llm import mixing, multiset
 
 QUERIES = {
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op10_document_fingerprints": multiset.op10_document_fingerprints,
 }
 
 ORACLES = {
