@@ -1,9 +1,10 @@
 """Registered queries of the operators and their DuckDB SQL."""
 
-from corpusql.llm import mixing, multiset
+from corpusql.llm import mixing, multiset, simhash
 
 QUERIES = {
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_document_fingerprints": multiset.op10_document_fingerprints,
 }
 
