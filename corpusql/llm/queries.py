@@ -1,15 +1,17 @@
 """Registered queries of the operators and their DuckDB SQL."""
 
-from corpusql.llm import mixing, multiset, simhash, warc
+from corpusql.llm import mixing, multiset, simhash, topk, warc
 
 QUERIES = {
     "op2_warc_archives": warc.op2_warc_archives,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op8_topk_search": topk.op8_topk_search,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_document_fingerprints": multiset.op10_document_fingerprints,
 }
 
 ORACLES = {
+    "op8_topk_search": topk.ORACLE_SQL,
     "op2_warc_archives": warc.ORACLE_SQL,
     "op5_mix_sources": mixing.ORACLE_SQL,
 }
