@@ -1,9 +1,10 @@
 """Registered queries of the operators and their DuckDB SQL."""
 
-from corpusql.llm import mixing, multiset, simhash, topk, warc
+from corpusql.llm import mixing, multiset, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op2_warc_archives": warc.op2_warc_archives,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op8_topk_search": topk.op8_topk_search,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
