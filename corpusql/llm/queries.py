@@ -1,11 +1,12 @@
 """Registered queries of the operators and their DuckDB SQL."""
 
-from corpusql.llm import mixing, multiset, simhash, topk, toxicity, warc
+from corpusql.llm import mixing, multiset, quality, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op2_warc_archives": warc.op2_warc_archives,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_topk_search": topk.op8_topk_search,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_document_fingerprints": multiset.op10_document_fingerprints,
