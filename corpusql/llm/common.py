@@ -43,7 +43,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def input_bytes(df: DataFrame) -> int:
     """Bytes that Spark's optimizer expects ``df`` to read (file sizes for a scan)."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes().toString()))
+    return int(str(stats.sizeInBytes()))
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
@@ -100,6 +100,20 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(starts, at)
 
 
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The words with one space behind each, and where they start in that."""
+    at = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts + 1, out=at[1:])
+    out = np.full(at[-1], 0x20, np.uint8)
+    step = np.zeros(len(data) + 1, np.int8)
+    step[starts] += 1
+    step[ends] -= 1
+    letters = np.ones(at[-1], bool)
+    letters[at[1:] - 1] = False
+    out[letters] = data[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
+    return out.tobytes(), at
+
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -141,21 +155,14 @@ def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
     return mixed((sums[width:] - sums[:-width]) * down[:n])
 
 
-def least_at(h: np.ndarray, width: int) -> np.ndarray:
-    """Position of the least value (the first of equals) in every run of ``width``."""
-    n = len(h) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    where = np.arange(len(h), dtype=np.int64)
-    best, span = h, 1
-    while span < width:          # doubling: runs of `span` from two overlapping halves
+def least_of_runs(values: np.ndarray, width: int) -> np.ndarray:
+    """The least value of every run of ``width``."""
+    best, span = values, 1
+    while span < width:          # doubling: a longer run is two overlapping shorter ones
         step = min(span, width - span)
-        m = len(best) - step
-        right = best[step:] < best[:m]
-        where = np.where(right, where[step:], where[:m])
-        best = np.where(right, best[step:], best[:m])
+        best = np.minimum(best[step:], best[:len(best) - step])
         span += step
-    return where
+    return best
 
 
 def by_batch(make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):

@@ -1,11 +1,12 @@
 """Registered queries of the operators and their DuckDB SQL."""
 
-from corpusql.llm import mixing, multiset, quality, simhash, topk, toxicity, warc
+from corpusql.llm import fmindex, mixing, multiset, quality, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op2_warc_archives": warc.op2_warc_archives,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_fm_index_dedup": fmindex.op6_fm_index_dedup,
     "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_topk_search": topk.op8_topk_search,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_fm_index_dedup": fmindex.ORACLE_SQL,
     "op8_topk_search": topk.ORACLE_SQL,
     "op2_warc_archives": warc.ORACLE_SQL,
     "op5_mix_sources": mixing.ORACLE_SQL,

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusql.llm.common import by_batch, pieces, stored, words
+from corpusql.llm.common import by_batch, joined_words, pieces, stored, words
 
 BITS = 64
 SEED = 42
@@ -50,27 +50,12 @@ def _lower(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data)
 
 
-def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """All words with one space behind each, and where they start in it."""
-    lengths = ends - starts
-    at = np.zeros(len(starts) + 1, np.int64)
-    np.cumsum(lengths + 1, out=at[1:])
-    out = np.full(at[-1], 0x20, np.uint8)
-    keep = np.zeros(len(data) + 1, np.int8)
-    np.add.at(keep, starts, 1)
-    np.add.at(keep, ends, -1)
-    target = np.ones(at[-1], bool)
-    target[at[1:] - 1] = False
-    out[target] = data[np.cumsum(keep[:-1]).astype(bool)]
-    return out.tobytes(), at
-
-
 def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
     """Fingerprint of every document of a piece."""
     starts, ends, first = words(data, offsets)
     n = np.diff(first)
     shingles = np.where(n >= width, n - width + 1, np.minimum(n, 1))
-    text, at = _joined(_lower(data), starts, ends)
+    text, at = joined_words(_lower(data), starts, ends)
     of = np.repeat(np.arange(len(n)), shingles)
     begin = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
     last = begin + np.minimum(width, n[of])
