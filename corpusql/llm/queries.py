@@ -1,9 +1,10 @@
 """Registered queries of the operators and their DuckDB SQL."""
 
-from corpusql.llm import fmindex, mixing, multiset, quality, simhash, topk, toxicity, warc
+from corpusql.llm import bwtmerge, fmindex, mixing, multiset, quality, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op2_warc_archives": warc.op2_warc_archives,
+    "op3_bwt_merge_dedup": bwtmerge.op3_bwt_merge_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_fm_index_dedup": fmindex.op6_fm_index_dedup,
