@@ -1,8 +1,9 @@
 """Registered queries of the operators and their DuckDB SQL."""
 
-from corpusql.llm import bwtmerge, fmindex, mixing, multiset, quality, simhash, topk, toxicity, warc
+from corpusql.llm import bwtmerge, fmindex, mixing, multiset, pieces, quality, simhash, topk, toxicity, warc
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_warc_archives": warc.op2_warc_archives,
     "op3_bwt_merge_dedup": bwtmerge.op3_bwt_merge_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
