@@ -33,7 +33,7 @@ def pad_batch(df: DataFrame, batch_size: int, pad_id: int | None = 0, pos: str =
     """Right-pad ids (pad id, 0 when unset), mask (0) and labels (-100) to the
     longest sequence of the batch."""
     pad_id = 0 if pad_id is None else pad_id
-    d = default_features(df).withColumn("batch", F.floor(F.col(pos) / batch_size).cast("bigint"))
+    d = default_features(df).withColumn("batch", F.expr(f"`{pos}` div {int(batch_size)}"))
     w = Window.partitionBy("batch")
     d = d.withColumn("_pad", F.max(F.size("input_ids")).over(w) - F.size("input_ids"))
     extra = F.col("_pad")

@@ -57,65 +57,58 @@ def _columns(df: DataFrame) -> Column:
     return F.filter(cols, lambda c: (c["t"] >= 0) & (c["t"] < F.size(tables)))
 
 
-def _valid_foreign_keys() -> Column:
-    """FK pairs whose child and parent are real columns; the last pair per child
-    wins. Pairs pointing at the '*' pseudo-column are dropped."""
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once: inside a lambda an expression would be
+    evaluated again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _foreign_keys() -> Column:
+    """``array<struct<child, nth, parent, child_table, child_column, ref_table, ref_column>>``
+    of the pairs whose child and parent are real columns (not '*'); of several pairs for a child
+    the last. One pass over the pairs and one sort."""
     names = F.col("column_names_original")
     tables = F.col("table_names_original")
-    fks = F.coalesce(F.col("foreign_keys"), F.array().cast("array<array<int>>"))
+    pairs = F.coalesce(F.col("foreign_keys"), F.array().cast("array<array<int>>"))
 
-    def real(idx):
+    def table_of(idx):
         t = _at(_at(names, idx), F.lit(0)).try_cast("int")
-        return idx.isNotNull() & (idx >= 0) & t.isNotNull() & (t >= 0) & (t < F.size(tables))
-
-    valid = F.filter(fks, lambda f: real(_at(f, F.lit(0))) & real(_at(f, F.lit(1))))
-    return F.filter(valid, lambda f, i: ~F.exists(
-        F.slice(valid, i + 2, F.greatest(F.size(valid), F.lit(1))),
-        lambda g: _at(g, F.lit(0)) == _at(f, F.lit(0))))
+        return F.when((idx >= 0) & (t >= 0), _at(tables, t))
 
-
-def _fk_struct(pair) -> Column:
-    names = F.col("column_names_original")
-    tables = F.col("table_names_original")
-    parent = _at(names, _at(pair, F.lit(1)))
-    return F.struct(
-        _at(pair, F.lit(1)).alias("parent_idx"),
-        _at(tables, _at(parent, F.lit(0)).try_cast("int")).alias("ref_table"),
-        _at(parent, F.lit(1)).alias("ref_column"),
-    )
+    resolved = F.transform(pairs, lambda f, n: F.struct(
+        _at(f, F.lit(0)).alias("child"), n.alias("nth"), _at(f, F.lit(1)).alias("parent"),
+        table_of(_at(f, F.lit(0))).alias("child_table"), _at(_at(names, _at(f, F.lit(0))), F.lit(1)).alias("child_column"),
+        table_of(_at(f, F.lit(1))).alias("ref_table"), _at(_at(names, _at(f, F.lit(1))), F.lit(1)).alias("ref_column")))
+    real = F.array_sort(F.filter(resolved, lambda f: f["child_table"].isNotNull() & f["ref_table"].isNotNull()))
+    return let(real, lambda all_: F.filter(all_, lambda f, i: ~F.get(all_, i + 1)["child"].eqNullSafe(f["child"])))
 
 
 def schema_ddl(catalog: DataFrame) -> DataFrame:
     """``(db_id, pos, schema)``: one ``CREATE TABLE`` block per table with columns,
     column lines in index order then FK lines in column order; tables joined by a
     blank line."""
-    pk = primary_key_ints(catalog)
-    cols = _columns(catalog)
-    fks = _valid_foreign_keys()
-    tables = F.col("table_names_original")
-    with_fk = F.transform(cols, lambda c: F.struct(
-        c["idx"].alias("idx"), c["t"].alias("t"), c["name"].alias("name"),
-        c["raw_type"].alias("raw_type"),
-        _fk_struct(F.try_element_at(F.filter(fks, lambda f: _at(f, F.lit(0)) == c["idx"]), F.lit(-1))).alias("fk"),
-        F.exists(fks, lambda f: _at(f, F.lit(0)) == c["idx"]).alias("has_fk"),
-    ))
-
-    def table_block(tname, ti):
-        mine = F.filter(F.col("_cols"), lambda c: c["t"] == ti)
-        col_lines = F.transform(mine, lambda c: F.concat(
-            F.lit("  "), c["name"], F.lit(" "), sql_type(c["raw_type"]),
-            F.when(F.array_contains(F.col("_pk"), c["idx"]), F.lit(" PRIMARY KEY")).otherwise(F.lit(""))))
-        fk_lines = F.transform(F.filter(mine, lambda c: c["has_fk"]), lambda c: F.concat(
-            F.lit("  FOREIGN KEY ("), c["name"], F.lit(") REFERENCES "),
-            c["fk"]["ref_table"], F.lit("("), c["fk"]["ref_column"], F.lit(")")))
-        body = F.array_join(F.concat(col_lines, fk_lines), ",\n")
+    def lines(cols, fks, pk):
+        keyed = F.map_from_entries(F.transform(fks, lambda f: F.struct(f["child"], f)))
+        return let(keyed, lambda of: F.transform(cols, lambda c: F.struct(
+            c["t"].alias("t"),
+            F.concat(F.lit("  "), c["name"], F.lit(" "), sql_type(c["raw_type"]),
+                     F.when(F.array_contains(pk, c["idx"]), F.lit(" PRIMARY KEY")).otherwise(F.lit(""))).alias("line"),
+            let(F.try_element_at(of, c["idx"]), lambda f: F.concat(
+                F.lit("  FOREIGN KEY ("), c["name"], F.lit(") REFERENCES "), f["ref_table"], F.lit("("), f["ref_column"],
+                F.lit(")"))).alias("fk"))))
+
+    def block(mine, tname):
+        fk_lines = F.filter(F.transform(mine, lambda c: c["fk"]), lambda x: x.isNotNull())
+        body = F.array_join(F.concat(F.transform(mine, lambda c: c["line"]), fk_lines), ",\n")
         return F.when(F.size(mine) > 0, F.concat(F.lit("CREATE TABLE "), tname, F.lit(" (\n"), body, F.lit("\n);")))
 
-    blocks = F.filter(F.transform(tables, table_block), lambda b: b.isNotNull())
-    return (catalog
-            .withColumn("_pk", pk)
-            .withColumn("_cols", with_fk)
-            .select("db_id", "pos", F.array_join(blocks, "\n\n").alias("schema")))
+    def blocks(rows):
+        return F.filter(F.transform("table_names_original", lambda tname, ti: let(
+            F.filter(rows, lambda c: c["t"] == ti), lambda mine: block(mine, tname))), lambda b: b.isNotNull())
+
+    schema = let(_foreign_keys(), lambda fks: let(primary_key_ints(catalog), lambda pk: let(
+        lines(_columns(catalog), fks, pk), lambda rows: F.array_join(blocks(rows), "\n\n"))))
+    return catalog.select("db_id", "pos", schema.alias("schema"))
 
 
 def schema_lookup(ddl: DataFrame) -> DataFrame:
@@ -149,18 +142,6 @@ def catalog_primary_keys(catalog: DataFrame) -> DataFrame:
 def catalog_foreign_keys(catalog: DataFrame) -> DataFrame:
     """Resolved FK edges ``(child table, column) -> (parent table, column)``; last pair
     per child wins; edges to '*' dropped."""
-    names = F.col("column_names_original")
-    tables = F.col("table_names_original")
-    fk = F.col("fk")
-    child = _at(names, _at(fk, F.lit(0)))
-    parent = _at(names, _at(fk, F.lit(1)))
-    return (catalog
-            .select("db_id", "pos", "column_names_original", "table_names_original",
-                    F.posexplode(_valid_foreign_keys()).alias("fk_pos", "fk"))
-            .select("db_id", "pos",
-                    _at(fk, F.lit(0)).alias("child_idx"),
-                    _at(tables, _at(child, F.lit(0)).try_cast("int")).alias("child_table"),
-                    _at(child, F.lit(1)).alias("child_column"),
-                    _at(fk, F.lit(1)).alias("parent_idx"),
-                    _at(tables, _at(parent, F.lit(0)).try_cast("int")).alias("ref_table"),
-                    _at(parent, F.lit(1)).alias("ref_column")))
+    return (catalog.select("db_id", "pos", F.explode(_foreign_keys()).alias("fk"))
+            .select("db_id", "pos", F.col("fk.child").alias("child_idx"), "fk.child_table", "fk.child_column",
+                    F.col("fk.parent").alias("parent_idx"), "fk.ref_table", "fk.ref_column"))

@@ -92,9 +92,6 @@ def sample_examples(examples: DataFrame, k: int, seed: int) -> DataFrame:
     """
     if k <= 0:
         return examples
-    n = examples.count()
-    if k >= n:
-        return examples
     return examples.orderBy(hash_key(F.lit(seed), F.col("pos")), "pos").limit(k)
 
 

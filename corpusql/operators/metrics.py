@@ -10,23 +10,31 @@ from corpusql.operators.positions import dense_positions
 
 
 def prediction_records(examples: DataFrame, responses: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Join chain per (mode, index): example, extracted prediction, both verdicts.
+    """One record per example and mode that ran: prediction and both verdicts.
 
     ``examples(index, db_id, question, output)``; ``responses(mode, index,
-    response, generation_time_s)``; ``verdicts(mode, index, exec_match,
-    pred_error, db_found)``.
+    response, generation_time_s)`` or, already extracted, with ``pred_sql``;
+    ``verdicts(mode, index, exec_match, pred_error, db_found)``. An example that a mode
+    gave no response for stays, with an empty prediction and no match. A response
+    without a verdict is an error of the caller and raises.
     """
-    preds = extract_predictions(responses)
-    rec = (preds.join(examples.select("index", "db_id", "question", F.col("output").alias("gold_sql")),
-                      "index")
+    preds = responses if "pred_sql" in responses.columns else extract_predictions(responses)
+    modes = preds.select("mode").distinct().agg(F.array_sort(F.collect_list("mode"))).scalar()
+    asked = examples.select(F.explode(modes).alias("mode"), "index", "db_id", "question", F.col("output").alias("gold_sql"))
+    rec = (asked.join(preds.select("mode", "index", "pred_sql", "generation_time_s", F.lit(True).alias("_answered")),
+                      ["mode", "index"], "left")
+           .withColumn("pred_sql", F.coalesce("pred_sql", F.lit("")))
            .transform(lambda d: exact_match(d, "gold_sql", "pred_sql"))
            .join(verdicts.select("mode", "index", "exec_match", "pred_error", "db_found"),
                  ["mode", "index"], "left"))
+    lost = F.col("_answered") & F.col("db_found").isNull()
     return rec.select(
         "mode", "index", "db_id", "question", "gold_sql", "pred_sql", "exact_match",
-        F.coalesce("exec_match", F.lit(False)).alias("exec_match"), "pred_error",
+        F.when(lost, F.raise_error(F.concat(F.lit("no verdict for example "), F.col("index").cast("string"))).cast("boolean"))
+        .otherwise(F.coalesce("exec_match", F.lit(False))).alias("exec_match"),
+        F.when(F.col("_answered").isNull(), F.lit("no response")).otherwise(F.col("pred_error")).alias("pred_error"),
         F.round("generation_time_s", 2).alias("generation_time_s"),
-        F.coalesce("db_found", F.lit(False)).alias("db_found"))
+        F.coalesce("db_found", F.lit(True)).alias("db_found"))
 
 
 def _counts(pred: DataFrame, group):
@@ -89,16 +97,25 @@ def running_metrics(predictions: DataFrame, every: int = 50) -> DataFrame:
         F.col("execution_error_count").alias("running_errors"))
 
 
-def mode_comparison(metrics: DataFrame) -> DataFrame:
-    return metrics.select("mode", "exact_match_accuracy", "execution_accuracy")
+def mode_comparison(metrics: DataFrame, one: str = "zero-shot", other: str = "few-shot") -> DataFrame:
+    """Both accuracies of two modes side by side, ``(metric, one, other, difference)``; empty
+    unless both ran."""
+    sides = metrics.where(F.col("mode").isin(one, other)).select("mode", F.explode(F.create_map(
+        F.lit("exact_match_accuracy"), F.col("exact_match_accuracy"),
+        F.lit("execution_accuracy"), F.col("execution_accuracy"))).alias("metric", "value"))
+    return (sides.groupBy("metric").agg(
+        F.max(F.when(F.col("mode") == one, F.col("value"))).alias("one"),
+        F.max(F.when(F.col("mode") == other, F.col("value"))).alias("other"), F.count("*").alias("_n"))
+        .where("_n = 2").select("metric", "one", "other", (F.col("other") - F.col("one")).alias("difference")))
 
 
 def model_comparison(predictions: DataFrame, model_col: str = "model") -> DataFrame:
-    """Model x mode table of both accuracies (pivot over the modes present)."""
-    m = eval_metrics(predictions.withColumn("mode", F.concat_ws("/", model_col, "mode")))
-    return m.select(F.split("mode", "/").getItem(0).alias(model_col),
-                    F.split("mode", "/").getItem(1).alias("mode"),
-                    "exact_match_accuracy", "execution_accuracy")
+    """Model x metric table: one row per model and mode with both accuracies."""
+    tot = F.col("total_examples")
+    return _counts(predictions, [model_col, "mode"]).select(
+        model_col, "mode",
+        (F.col("exact_match_count").cast("double") * 100.0 / tot).alias("exact_match_accuracy"),
+        (F.col("execution_match_count").cast("double") * 100.0 / tot).alias("execution_accuracy"))
 
 
 def failure_sample(predictions: DataFrame, n: int = 10) -> DataFrame:
@@ -129,11 +146,13 @@ def _join_count(sql):
 
 
 def error_category(gold="gold_sql", pred="pred_sql") -> F.Column:
-    """Rule chain (first hit wins) over the six fixed category names."""
-    err = F.col("pred_error")
+    """Rule chain (first hit wins) over the six fixed category names. A missing database is
+    no error of the prediction, so its text alone decides."""
+    err = F.when(F.col("db_found"), F.col("pred_error"))
     return (F.when(err.rlike("UNRESOLVED_COLUMN|TABLE_OR_VIEW_NOT_FOUND"), F.lit("schema_misunderstanding"))
             .when(err.isNotNull(), F.lit("invalid_sql"))
             .when(F.col("exec_match") & ~F.col("exact_match"), F.lit("false_negative_exact_match"))
+            .when(~F.col("db_found") & F.col("exact_match"), F.lit("other"))
             .when((_join_count(gold) != _join_count(pred)) | (_tables_of(gold) != _tables_of(pred)),
                   F.lit("wrong_join"))
             .when(_aggs_of(gold) != _aggs_of(pred), F.lit("wrong_aggregation"))
@@ -156,27 +175,28 @@ def exact_percentiles(df: DataFrame, group: str, value: str, probs=(0.5, 0.95),
                       tie: str = "index") -> DataFrame:
     """Exact linear-interpolation percentiles per group without collecting a group.
 
-    Values get one dense position in (group, value, tie) order (range-partitioned,
-    so a hot group spans many tasks); per group only start and count are
-    aggregated; the two neighbours of rank (n-1)p are fetched by an equi-join on
+    NULL values are no observations. Values get one dense position in (group, value, tie) order
+    (range-partitioned, so a hot group spans many tasks); per group only start and count are
+    aggregated; the two neighbours of rank (n-1)p are fetched by one equi-join on
     position. Result: lo + (hi - lo) * frac.
     """
-    ranked = dense_positions(df.select(group, value, tie), [group, value, tie], name="_g")
+    ranked = dense_positions(df.select(group, value, tie).where(F.col(value).isNotNull()), [group, value, tie], name="_g")
     stats = ranked.groupBy(group).agg(F.min("_g").alias("_s"), F.count("*").alias("_n"))
     wanted = stats.select(group, "_s", "_n", F.explode(F.array(*[F.lit(p) for p in probs])).alias("p"))
     wanted = (wanted.withColumn("_r", (F.col("_n") - 1).cast("double") * F.col("p"))
               .withColumn("_lo", F.col("_s") + F.floor("_r").cast("bigint"))
               .withColumn("_hi", F.col("_s") + F.ceil("_r").cast("bigint"))
               .withColumn("_f", F.col("_r") - F.floor("_r")))
-    vals = ranked.select("_g", F.col(value).alias("_v"))
-    got = (wanted.join(vals.withColumnRenamed("_g", "_lo").withColumnRenamed("_v", "_vlo"), "_lo")
-           .join(vals.withColumnRenamed("_g", "_hi").withColumnRenamed("_v", "_vhi"), "_hi"))
+    ends = wanted.select(group, "p", "_f", "_lo", F.explode(F.array("_lo", "_hi")).alias("_g"))
+    got = (ends.join(ranked.select("_g", F.col(value).alias("_v")), "_g").groupBy(group, "p", "_f")
+           .agg(F.min_by("_v", "_g").alias("_vlo"), F.max_by("_v", "_g").alias("_vhi")))
     return got.select(group, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_f")).alias("q"))
 
 
 def latency_summary(log: DataFrame, group: str = "mode", latency: str = "generation_time_s",
                     ts: str | None = None, tie: str = "index") -> DataFrame:
-    """p50/p95 latency and requests per second (count over the log's time span)."""
+    """p50/p95 latency and requests per second (count over the log's time span). Requests without a latency count as
+    requests only."""
     q = exact_percentiles(log, group, latency, (0.5, 0.95), tie)
     piv = q.groupBy(group).agg(
         F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("p50"),
@@ -191,4 +211,4 @@ def latency_summary(log: DataFrame, group: str = "mode", latency: str = "generat
             F.col("_t1") > F.col("_t0"),
             F.col("n_requests").cast("double") * 1000000.0 / (F.col("_t1") - F.col("_t0")).cast("double")))
         base = base.drop("_t0", "_t1")
-    return base.join(piv, group)
+    return base.join(piv, group, "left")

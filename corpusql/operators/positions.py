@@ -12,7 +12,7 @@ the partition count, not by the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusql.session import shared_root
@@ -25,36 +25,25 @@ def dense_positions(df: DataFrame, order_cols: list, name: str = "g",
     """Add ``name`` = 0-based position of the row in ``order_cols`` order.
 
     ``order_cols`` must be a total order (include a unique key) for the result
-    to be deterministic.
+    to be deterministic. Without ``num_partitions`` the count follows the data: adaptive
+    execution sizes the partitions.
     """
     spark = df.sparkSession
     shared_root(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (df.repartitionByRange(n, *order_cols)
-               .sortWithinPartitions(*order_cols)
-               .checkpoint(eager=True))
-    mid = F.monotonically_increasing_id()
-    tagged = ordered.withColumn("_mid", mid)
+    dealt = df.repartitionByRange(num_partitions, *order_cols) if num_partitions else df.repartitionByRange(*order_cols)
+    ordered = dealt.sortWithinPartitions(*order_cols).checkpoint(eager=True)
+    tagged = ordered.withColumn("_mid", F.monotonically_increasing_id())
     pid = F.shiftright(F.col("_mid"), 33)
     counts = {r["p"]: r["n"] for r in
               tagged.groupBy(pid.alias("p")).agg(F.count("*").alias("n")).collect()}
     offsets, acc = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        offsets.append(acc)
-        acc += counts.get(p, 0)
-    if not offsets:
-        out = ordered.withColumn(name, F.lit(None).cast("bigint"))
-        out.total_rows = 0
-        return out
-    offset_of = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]),
-                             (pid + 1).cast("int"))
-    out = (tagged.withColumn(name, offset_of + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
-           .drop("_mid"))
+    for p in sorted(counts):
+        offsets.append((p, acc))
+        acc += counts[p]
+    # one row per partition: a proven bound for the broadcast
+    starts = spark.createDataFrame(offsets, "_p bigint, _start bigint")
+    out = (tagged.withColumn("_p", pid).join(F.broadcast(starts), "_p")
+           .withColumn(name, F.col("_start") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
+           .select(*df.columns, name))
     out.total_rows = acc   # row count, known from the per-partition counts
     return out
-
-
-def bucket_of(pos: Column | str, size: int) -> Column:
-    """Integer bucket of a dense position (``pos div size``)."""
-    p = F.col(pos) if isinstance(pos, str) else pos
-    return F.floor(p / F.lit(size)).cast("bigint")

@@ -41,11 +41,12 @@ def select_few_shot(test: DataFrame, train: DataFrame, k: int, seed: int,
     rows; ``min(k, |pool|)`` distinct rows are drawn with seed ``seed + index``
     semantics replaced by md5 draws of ``(seed, index, j)``.
 
-    Plan: training rows get one dense position ``g`` in (schema_len, db_id, pos)
-    order, so a database is a contiguous run [start, start + n). Candidate
-    position p of a test row in database X maps to ``g = p`` if ``p < start_X``
-    else ``p + n_X``. Positions are drawn in-row with Floyd's algorithm and
-    joined to training rows on ``g``: an O(T*k) equi-join, no test x train pairs.
+    Plan: training keys (no texts) get one dense position ``g`` in (schema_len,
+    db_id, pos) order, so a database is one contiguous run [start, start + n) per schema
+    length it has. Candidate position p of a test row maps to ``g`` by stepping over its own
+    database's runs in order. Positions are drawn in-row with Floyd's algorithm and
+    joined to the keys on ``g``: an O(T*k) equi-join, no test x train pairs; texts
+    are fetched for the picked rows only.
 
     Returns ``(index, slot, g, pick_pos, pick_db_id, schema, question, output)``.
     """
@@ -56,17 +57,16 @@ def select_few_shot(test: DataFrame, train: DataFrame, k: int, seed: int,
                         F.lit(0).cast("bigint").alias("pick_pos"), F.lit("").alias("pick_db_id"),
                         F.lit("").alias("schema"), F.lit("").alias("question"), F.lit("").alias("output")))
     ranked = dense_positions(
-        train.select("db_id", "schema", "question", "output", "pos",
-                     F.length("schema").alias("_slen")),
+        train.select("db_id", "pos", F.length("schema").alias("_slen")),
         ["_slen", "db_id", "pos"], name="g")
     n_train = ranked.total_rows
-    stats = ranked.groupBy("db_id").agg(F.min("g").alias("_start"), F.count("*").alias("_n"))
-
+    runs = ranked.groupBy("db_id", "_slen").agg(F.min("g").alias("start"), F.count("*").alias("n"))
+    runs = runs.groupBy("db_id").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("_runs"))
+    none = F.array().cast(runs.schema["_runs"].dataType)
     t = (test.select(*t_cols)
-         .join(stats, "db_id", "left")
-         .withColumn("_n", F.when((F.col("db_id").isNull()) | (F.col("db_id") == ""), F.lit(0))
-                     .otherwise(F.coalesce("_n", F.lit(0))).cast("bigint"))
-         .withColumn("_start", F.coalesce("_start", F.lit(0)).cast("bigint")))
+         .join(runs, "db_id", "left")
+         .withColumn("_runs", F.when((F.col("db_id").isNull()) | (F.col("db_id") == ""), none).otherwise(F.coalesce("_runs", none)))
+         .withColumn("_n", F.aggregate("_runs", F.lit(0).cast("bigint"), lambda s, r: s + r["n"])))
     cand = F.lit(n_train).cast("bigint") - F.col("_n")
     half = F.floor(cand / 2).cast("bigint")
     pool = F.when(half < k, cand).otherwise(half)
@@ -81,13 +81,13 @@ def select_few_shot(test: DataFrame, train: DataFrame, k: int, seed: int,
         .otherwise(F.array().cast("array<bigint>"))
     ordered = F.array_sort(F.transform(picks, lambda p: F.struct(
         hash_key(F.lit(seed), idx, p).alias("k"), p.alias("p"))))
-    drawn = (t.select(index_col, "_start", "_n", F.posexplode(ordered).alias("slot", "_pk"))
+    drawn = (t.select(index_col, "_runs", F.posexplode(ordered).alias("slot", "_pk"))
              .select(index_col, (F.col("slot") + 1).cast("bigint").alias("slot"),
-                     F.when(F.col("_pk.p") < F.col("_start"), F.col("_pk.p"))
-                     .otherwise(F.col("_pk.p") + F.col("_n")).alias("g")))
-    return (drawn.join(ranked, "g")
-            .select(index_col, "slot", "g", F.col("pos").alias("pick_pos"),
-                    F.col("db_id").alias("pick_db_id"), "schema", "question", "output"))
+                     F.aggregate("_runs", F.col("_pk.p"), lambda g, r: F.when(g >= r["start"], g + r["n"]).otherwise(g)).alias("g")))
+    keys = drawn.join(ranked.select("g", F.col("pos").alias("pick_pos"), F.col("db_id").alias("pick_db_id")), "g")
+    texts = train.select(F.col("db_id").alias("pick_db_id"), F.col("pos").alias("pick_pos"), "schema", "question", "output")
+    return (keys.join(texts, ["pick_db_id", "pick_pos"])
+            .select(index_col, "slot", "g", "pick_pos", "pick_db_id", "schema", "question", "output"))
 
 
 def _picked_arrays(picks: DataFrame, index_col: str, sql_field: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusql.operators import catalog as cat
 from corpusql.operators import corpus
+from corpusql.session import stored
 
 # Fixture constants (shared with the DuckDB oracle; not reference values).
 GOLD_TEMPLATES = (
@@ -29,8 +30,7 @@ TPCH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
 VAL_RATIO = 0.1
 SEED = 42
 FEW_SHOT_K = 3
-TOKEN_PREFIX = 64
-TOKEN_TEMPLATE = [46, 32]   # code points of ". "
+TOKEN_TEMPLATE = [614, 884]   # tokens of "of the" (see token_features)
 BATCH_SIZE = 8
 MAX_SEQ = 48
 
@@ -90,7 +90,7 @@ def gold_sql(doc_id="doc_id") -> Column:
 def raw_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(db_id, question, query, pos)``: one example per document, db = source."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("source").alias("db_id"), F.substring("text", 1, 200).alias("question"),
+    return d.select(F.col("source").alias("db_id"), F.col("text").alias("question"),
                     gold_sql().alias("query"), F.col("doc_id").alias("pos"))
 
 
@@ -125,7 +125,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schema_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cat.schema_lookup(cat.schema_ddl(catalog(spark, sf_dir)))
+    return stored(cat.schema_lookup(cat.schema_ddl(catalog(spark, sf_dir))), "schema-lookup")
 
 
 def instruction_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +171,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.pmod("doc_id", F.lit(6))
     resp = (F.when(w == 0, F.concat(F.lit("```sql\n"), pred, F.lit("\n```")))
             .when(w == 1, F.concat(F.lit("Here is the query:\n```\n"), pred, F.lit("\n```\nIt answers the question.")))
-            .when(w == 2, F.concat(pred, F.lit(";\n\nThis query "), F.substring("text", 1, 40)))
+            .when(w == 2, F.concat(pred, F.lit(";\n\nThis query "), F.col("text")))
             .when(w == 3, F.concat(F.lit("Answer for "), F.col("source"), F.lit(":\n"), pred))
             .when(w == 4, F.concat(F.lit("```sqlite\n"), pred, F.lit("\n```")))
             .otherwise(F.concat(F.lit("The query is "), pred)))
@@ -211,14 +211,17 @@ def result_rows(spark: SparkSession, sf_dir: str):
     li = table(spark, sf_dir, "lineitem")
     ok = F.col("l_orderkey")
     ln = F.col("l_linenumber").cast("string")
-    qty = F.floor("l_quantity").cast("bigint").cast("string")
+    # whole rows; doubles by their bits' text in no engine's format: as exact decimals
+    money = [F.col(c).cast("decimal(18,4)").cast("string") for c in
+             ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    rest = [F.col(c).cast("string") for c in ("l_partkey", "l_suppkey")] + money + [F.col("l_linestatus"), F.date_format("l_shipdate", "yyyy-MM-dd")]
     gold = li.select(ok.alias("pair_id"), F.lit("gold").alias("side"),
-                     F.array(ln, qty, F.col("l_returnflag")).alias("row"))
+                     F.array(ln, *rest, F.col("l_returnflag")).alias("row"))
     base = li.where(~((F.pmod(ok, F.lit(7)) == 0) & (F.col("l_linenumber") == 1))
                     & (F.pmod(ok, F.lit(19)) != 0))
-    row = (F.when(F.pmod(ok, F.lit(13)) == 0, F.array(F.col("l_returnflag"), ln, qty))
-           .when(F.pmod(ok, F.lit(5)) == 0, F.array(ln, qty, F.lower("l_returnflag")))
-           .otherwise(F.array(ln, qty, F.col("l_returnflag"))))
+    row = (F.when(F.pmod(ok, F.lit(13)) == 0, F.array(F.col("l_returnflag"), ln, *rest))
+           .when(F.pmod(ok, F.lit(5)) == 0, F.array(ln, *rest, F.lower("l_returnflag")))
+           .otherwise(F.array(ln, *rest, F.col("l_returnflag"))))
     pred = base.select(ok.alias("pair_id"), F.lit("pred").alias("side"), row.alias("row"))
     dup = li.where((F.pmod(ok, F.lit(11)) == 0) & (F.col("l_linenumber") == 1)
                    & (F.pmod(ok, F.lit(19)) != 0)) \
@@ -233,12 +236,11 @@ def result_rows(spark: SparkSession, sf_dir: str):
 
 
 def token_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids = code points of the first 64 characters; some rows lack mask/labels."""
+    """One token per word of the whole text, ``code point of its first letter + 256 * length``;
+    some rows lack mask/labels."""
     d = table(spark, sf_dir, "documents")
-    n = F.least(F.length("text"), F.lit(TOKEN_PREFIX))
-    ids = F.when(n > 0, F.transform(F.sequence(F.lit(1), n),
-                                    lambda i: F.ascii(F.substring("text", i, 1)))) \
-        .otherwise(F.array().cast("array<int>"))
+    ids = F.transform(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)),
+                      lambda w: F.ascii(w) + 256 * F.length(w))
     return (d.select(F.col("doc_id").alias("pos"), ids.cast("array<int>").alias("input_ids"))
             .withColumn("attention_mask", F.when(F.pmod("pos", F.lit(3)) == 0, F.lit(None))
                         .otherwise(F.array_repeat(F.lit(1), F.size("input_ids"))).cast("array<int>"))

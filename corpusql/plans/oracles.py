@@ -48,7 +48,7 @@ K = "(1 + n_chars % 6)"
 T_ = "(1 + doc_id % 3)"
 
 CTE_RAW = f"""raw AS (
-  SELECT source AS db_id, substr(text, 1, 200) AS question, {GOLD} AS query, doc_id AS pos
+  SELECT source AS db_id, text AS question, {GOLD} AS query, doc_id AS pos
   FROM documents)"""
 
 CTE_CATALOG = f"""catalog AS (
@@ -156,7 +156,7 @@ picks AS (
 RESP = (f"""CASE doc_id % 6
       WHEN 0 THEN '```sql' || {NL} || pred || {NL} || '```'
       WHEN 1 THEN 'Here is the query:' || {NL} || '```' || {NL} || pred || {NL} || '```' || {NL} || 'It answers the question.'
-      WHEN 2 THEN pred || ';' || {NL} || {NL} || 'This query ' || substr(text, 1, 40)
+      WHEN 2 THEN pred || ';' || {NL} || {NL} || 'This query ' || text
       WHEN 3 THEN 'Answer for ' || source || ':' || {NL} || pred
       WHEN 4 THEN '```sqlite' || {NL} || pred || {NL} || '```'
       ELSE 'The query is ' || pred END""")
@@ -209,10 +209,8 @@ FROM {src} GROUP BY mode"""
 
 CTE_TOKENS = f"""tok AS (
   SELECT doc_id AS pos,
-         CASE WHEN least(length(text), {fx.TOKEN_PREFIX}) > 0 THEN
-           list_transform(range(1, least(length(text), {fx.TOKEN_PREFIX}) + 1),
-                          lambda i: CAST(unicode(substr(text, i, 1)) AS INTEGER))
-         ELSE []::INTEGER[] END AS input_ids
+         list_transform(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'),
+                        lambda w: CAST(unicode(w) + 256 * length(w) AS INTEGER)) AS input_ids
   FROM documents),
 feat AS (
   SELECT pos, input_ids,
@@ -357,7 +355,7 @@ SHARED_BLOCK = (f"'### Example ' || CAST(slot AS VARCHAR) || {NL} || {NL} || 'Sc
 SHARED_TAIL = (f"'### Your Turn' || {NL} || {NL} || 'Schema:' || {NL} || te.schema || {NL} || {NL} || "
                f"'Question: ' || te.question || {NL} || {NL} || 'SQL:'")
 
-LATENCY = """WITH r AS (SELECT event_type, value, row_number() OVER (ORDER BY event_type, value, event_id) - 1 AS g FROM events),
+LATENCY = """WITH r AS (SELECT event_type, value, row_number() OVER (ORDER BY event_type, value, event_id) - 1 AS g FROM events WHERE event_id % 4 <> 0),
 s AS (SELECT event_type, min(g) AS s, count(*) AS n FROM r GROUP BY event_type),
 w AS (SELECT event_type, s, n, p, CAST(n - 1 AS DOUBLE) * p AS rr
       FROM s, (VALUES (CAST(0.5 AS DOUBLE)), (CAST(0.95 AS DOUBLE))) v(p)),
@@ -389,6 +387,10 @@ SELECT mode, CAST(n_seen AS BIGINT) AS n_seen, CAST(em AS DOUBLE) * 100.0 / n_se
 LAST_HIT = (f"CASE WHEN len(input_ids) >= {L} THEN list_max(list_filter(range(1, len(input_ids) - {L} + 2), "
             f"lambda j: input_ids[j:j + {L - 1}] = {TMPL})) END")
 
+_LINE_REST = ("[CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), " + ", ".join(
+    f"CAST(CAST({c} AS DECIMAL(18, 4)) AS VARCHAR)" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+    + ", l_linestatus, strftime(l_shipdate, '%Y-%m-%d')]")
+
 ORACLES: dict[str, str] = {
     # sources / sinks
     "scan_catalog": f"WITH {CTE_CATALOG} SELECT db_id, pos, table_names_original, column_names_original, "
@@ -469,12 +471,12 @@ ORACLES: dict[str, str] = {
     "execute_queries": _execute_queries_sql(),
     "execution_accuracy": _execution_accuracy_sql(),
     "missing_database_verdict": f"SELECT * FROM ({_execution_accuracy_sql()}) WHERE NOT db_found",
-    "compare_result_sets": """WITH
-        g AS (SELECT l_orderkey AS id, [CAST(l_linenumber AS VARCHAR), CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR), l_returnflag] AS r, 1 AS s FROM lineitem),
-        p0 AS (SELECT l_orderkey AS id, CASE WHEN l_orderkey % 13 = 0 THEN [l_returnflag, CAST(l_linenumber AS VARCHAR), CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR)]
-                    WHEN l_orderkey % 5 = 0 THEN [CAST(l_linenumber AS VARCHAR), CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR), lower(l_returnflag)]
-                    ELSE [CAST(l_linenumber AS VARCHAR), CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR), l_returnflag] END AS r,
-                    l_linenumber FROM lineitem WHERE l_orderkey % 19 <> 0),
+    "compare_result_sets": f"""WITH
+        li AS (SELECT l_orderkey AS id, l_linenumber, l_returnflag, CAST(l_linenumber AS VARCHAR) AS ln, {_LINE_REST} AS rest FROM lineitem),
+        g AS (SELECT id, list_concat([ln], rest, [l_returnflag]) AS r, 1 AS s FROM li),
+        p0 AS (SELECT id, CASE WHEN id % 13 = 0 THEN list_concat([l_returnflag, ln], rest)
+                    WHEN id % 5 = 0 THEN list_concat([ln], rest, [lower(l_returnflag)])
+                    ELSE list_concat([ln], rest, [l_returnflag]) END AS r, l_linenumber FROM li WHERE id % 19 <> 0),
         p AS (SELECT id, r, -1 AS s FROM p0 WHERE NOT (id % 7 = 0 AND l_linenumber = 1)
               UNION ALL SELECT id, r, -1 FROM p0 WHERE id % 11 = 0 AND l_linenumber = 1),
         d AS (SELECT id, bool_and(d = 0) AS same FROM (SELECT id, r, sum(s) AS d FROM (SELECT * FROM g UNION ALL SELECT * FROM p) GROUP BY id, r) GROUP BY id)
@@ -484,10 +486,13 @@ ORACLES: dict[str, str] = {
     "eval_metrics": f"WITH {CTE_EVENTS} " + METRICS_SELECT.format(src="ev"),
     "error_rate": f"""WITH {CTE_EVENTS}, m AS ({METRICS_SELECT.format(src='ev')})
         SELECT mode, execution_error_count, total_examples, error_rate FROM m""",
-    "mode_comparison": f"""WITH {CTE_EVENTS}, m AS ({METRICS_SELECT.format(src='ev')})
-        SELECT mode, exact_match_accuracy, execution_accuracy FROM m""",
+    "mode_comparison": f"""WITH {CTE_EVENTS}, m AS ({METRICS_SELECT.format(src='ev')}),
+        a AS (SELECT * FROM m WHERE mode = 'click'), b AS (SELECT * FROM m WHERE mode = 'view'),
+        s AS (SELECT 'exact_match_accuracy' AS metric, a.exact_match_accuracy AS one, b.exact_match_accuracy AS other FROM a JOIN b ON TRUE
+              UNION ALL SELECT 'execution_accuracy', a.execution_accuracy, b.execution_accuracy FROM a JOIN b ON TRUE)
+        SELECT metric, one, other, other - one AS difference FROM s""",
     "model_comparison": f"""WITH {CTE_EVENTS},
-        e2 AS (SELECT CASE event_id % 3 WHEN 0 THEN 'fine-tuned' WHEN 1 THEN 'base-few-shot' ELSE 'base-zero-shot' END AS model, * FROM ev)
+        e2 AS (SELECT CASE event_id % 3 WHEN 0 THEN 'org/tuned-7b' WHEN 1 THEN 'org/base-7b' ELSE 'base' END AS model, * FROM ev)
         SELECT model, mode,
           CAST(count(*) FILTER (WHERE exact_match) AS DOUBLE) * 100.0 / count(*) AS exact_match_accuracy,
           CAST(count(*) FILTER (WHERE exec_match) AS DOUBLE) * 100.0 / count(*) AS execution_accuracy

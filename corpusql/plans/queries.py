@@ -278,13 +278,13 @@ def q_running_metrics(spark, sf):
 
 
 def q_mode_comparison(spark, sf):
-    return metrics.mode_comparison(metrics.eval_metrics(fx.predictions_from_events(spark, sf)))
+    return metrics.mode_comparison(metrics.eval_metrics(fx.predictions_from_events(spark, sf)), "click", "view")
 
 
 def q_model_comparison(spark, sf):
     p = fx.predictions_from_events(spark, sf).withColumn(
-        "model", F.when(F.pmod("event_id", F.lit(3)) == 0, F.lit("fine-tuned"))
-        .when(F.pmod("event_id", F.lit(3)) == 1, F.lit("base-few-shot")).otherwise(F.lit("base-zero-shot")))
+        "model", F.when(F.pmod("event_id", F.lit(3)) == 0, F.lit("org/tuned-7b"))
+        .when(F.pmod("event_id", F.lit(3)) == 1, F.lit("org/base-7b")).otherwise(F.lit("base")))
     return metrics.model_comparison(p)
 
 
@@ -298,7 +298,8 @@ def q_error_buckets(spark, sf):
 
 
 def q_latency_summary(spark, sf):
-    ev = fx.table(spark, sf, "events")
+    # every fourth request has no latency
+    ev = fx.table(spark, sf, "events").withColumn("value", F.when(F.pmod("event_id", F.lit(4)) != 0, F.col("value")))
     return metrics.latency_summary(ev, group="event_type", latency="value", ts="ts", tie="event_id")
 
 

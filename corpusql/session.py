@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -34,24 +34,30 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``).
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the
+    session, or the one given to ``setCheckpointDir``.
 
-    Read from the session; only when it is unset (local tests) a scratch
-    folder is created and registered.
+    Where neither is set, a local master gets a folder of its own and any other master
+    raises: executors do not see a folder that the driver makes on its machine.
     """
-    conf = spark.sparkContext.getConf()
-    root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="corpusql-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not root and sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusql-"))
+    if root and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
+    return (root or sc.getCheckpointDir()).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique location under the shared folder."""
-    root = shared_root(spark)
-    if root.startswith("/"):
-        os.makedirs(root, exist_ok=True)
-    return f"{root}/corpusql/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/corpusql/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back, with its measured size."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

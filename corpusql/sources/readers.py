@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusql.operators.positions import dense_positions
 from corpusql.sources import schemas
 
 
@@ -20,37 +21,48 @@ def _is_json_array(spark: SparkSession, path: str) -> bool:
     return bool(head) and head[0][0].lstrip().startswith("[")
 
 
-def read_records(spark: SparkSession, path: str, schema, fmt: str | None = None) -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema, fmt: str | None = None, required: tuple = ()) -> DataFrame:
     """Read JSON (array or lines) or Parquet with a fixed schema.
 
-    A missing path raises ``AnalysisException`` (PATH_NOT_FOUND).
+    A missing path raises ``AnalysisException`` (PATH_NOT_FOUND), a malformed record fails
+    the read, and so does a record without one of ``required``.
     """
     fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "json")
     if fmt == "parquet":
-        return spark.read.schema(schema).parquet(path)
-    reader = spark.read.schema(schema).option("mode", "PERMISSIVE")
+        return _with_required(spark.read.schema(schema).parquet(path), required)
+    reader = spark.read.schema(schema).option("mode", "FAILFAST")
     if _is_json_array(spark, path):
         reader = reader.option("multiLine", True)
-    return reader.json(path)
+    return _with_required(reader.json(path), required)
+
+
+def _with_required(df: DataFrame, names: tuple) -> DataFrame:
+    """Raises for a record without a value in ``names`` when that value is read."""
+    return df.withColumns({n: F.coalesce(F.col(n), F.raise_error(F.lit(f"a record has no {n}")).cast(df.schema[n].dataType))
+                           for n in names})
 
 
 def with_file_pos(df: DataFrame) -> DataFrame:
-    """Fill a missing ``pos`` with a position that follows file order.
+    """Fill a missing ``pos`` with the record's place in (file path, position in the file)
+    order, dense from 0; files that carry ``pos`` keep theirs.
 
-    Uses the input file name and the row's offset inside its partition; for a
-    single JSON array this is the array index. Dense only per file, which is all
-    ordering needs (``pos`` is compared, never counted).
+    A row's offset inside its scan partition grows with its place in its file, and file parts
+    are ordered by path and start, so the order does not follow how parts are packed.
     """
-    mid = F.monotonically_increasing_id()
-    return df.withColumn("pos", F.coalesce(F.col("pos"), mid))
+    if df.where(F.col("pos").isNull()).limit(1).count() == 0:
+        return df
+    placed = df.select("*", F.input_file_name().alias("_file"), F.input_file_block_start().alias("_part"),
+                       F.monotonically_increasing_id().alias("_row"))
+    ranked = dense_positions(placed, ["_file", "_part", "_row"], name="_at")
+    return ranked.withColumn("pos", F.coalesce("pos", "_at")).select(*df.columns)
 
 
 def scan_catalog(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    return with_file_pos(read_records(spark, path, schemas.CATALOG, fmt))
+    return with_file_pos(read_records(spark, path, schemas.CATALOG, fmt, ("db_id", "table_names_original")))
 
 
 def scan_examples(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    return with_file_pos(read_records(spark, path, schemas.RAW_EXAMPLE, fmt))
+    return with_file_pos(read_records(spark, path, schemas.RAW_EXAMPLE, fmt, ("db_id", "query")))
 
 
 def scan_instructions(spark: SparkSession, paths: dict[str, str], fmt: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ INSTRUCTION_COLUMNS = ["instruction", "schema", "question", "output", "db_id", "
 def write_splits(examples: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
     """``examples`` carries a ``split`` column; one sub-directory per split."""
     (examples.select(*INSTRUCTION_COLUMNS, "split")
-     .repartition("split", "db_id")
+     .repartitionByRange("split", "db_id", "pos")      # a large database spans files
      .sortWithinPartitions("split", "db_id", "pos")
      .write.mode(mode).partitionBy("split").format(fmt).save(path))
 
@@ -43,8 +43,15 @@ def write_metadata(metadata: DataFrame, path: str, mode: str = "overwrite") -> N
     metadata.coalesce(1).write.mode(mode).json(path)
 
 
+def run_config(metrics: DataFrame, num_few_shot: int, seed: int) -> DataFrame:
+    """``(mode, num_few_shot, seed, total_examples)`` of each mode that ran."""
+    return metrics.select("mode", F.when(F.col("mode") == "few-shot", F.lit(num_few_shot)).otherwise(F.lit(0)).alias("num_few_shot"),
+                          F.lit(int(seed)).alias("seed"), "total_examples")
+
+
 def write_results(predictions: DataFrame, metrics: DataFrame, path: str,
-                  fmt: str = "json", mode: str = "overwrite") -> None:
-    """Predictions and metrics, each partitioned by ``mode``."""
+                  fmt: str = "json", mode: str = "overwrite", num_few_shot: int = 0, seed: int = 42) -> None:
+    """Predictions, metrics and run configuration, each partitioned by ``mode``."""
+    run_config(metrics, num_few_shot, seed).write.mode(mode).partitionBy("mode").format(fmt).save(f"{path}/config")
     predictions.write.mode(mode).partitionBy("mode").format(fmt).save(f"{path}/predictions")
     metrics.write.mode(mode).partitionBy("mode").format(fmt).save(f"{path}/metrics")
