@@ -3,29 +3,32 @@
 Only query *planning* happens on the driver: one ``spark.sql`` per distinct
 (db_id, text), submitted from a small thread pool so independent jobs share
 the cluster. Results never come back to the driver: each query's rows are
-written (as ``array<string>``) under the shared folder and read back as one
-distributed table. Runtime failures (ANSI errors, bad casts) surface during
-that write and are recorded as the query's error text.
+written (as ``array<string>`` with their counts) under the shared folder and read
+back as one distributed table.
+
+A text must be one query: it is parsed bare, so a table name or unbalanced
+parentheses are errors. Child sessions cannot read files by path nor call JVM methods.
+Parse, analysis and query runtime errors are the query's own and become its error
+text; anything else (a lost cluster, a full disk) raises.
 """
 
 from __future__ import annotations
 
 import threading
 from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
+from pyspark.errors import (AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException,
+                            DateTimeException, NumberFormatException, ParseException, SparkRuntimeException)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusql.functions.sqltext import execution_text
-from corpusql.session import scratch_path, shared_root
+from corpusql.session import scratch_path, stored
 from corpusql.sources.registry import DatabaseSessions
 
-STATUS_SCHEMA = T.StructType([
-    T.StructField("query_id", T.LongType()),
-    T.StructField("error", T.StringType()),
-])
-
+QUERY_ERRORS = (ParseException, AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException,
+                DateTimeException, NumberFormatException, SparkRuntimeException)
 
 def _error_text(e: Exception) -> str:
     msg = str(e).strip()
@@ -38,84 +41,80 @@ def stringify_rows(df: DataFrame) -> DataFrame:
     return df.select(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in df.columns]).alias("row"))
 
 
-def physical_db(db_id, sessions: DatabaseSessions):
-    """db_id -> physical database key (NULL when the database is missing).
-    The map literal has one entry per registered database."""
-    pm = sessions.physical_map()
-    if not pm:
-        return F.lit(None).cast("string")
-    m = F.create_map(*[F.lit(x) for kv in sorted(pm.items()) for x in kv])
-    return F.try_element_at(m, F.col(db_id) if isinstance(db_id, str) else db_id)
-
-
-def query_key(db_id, sql, sessions: DatabaseSessions):
-    """Stable id of (physical database, execution text); missing db keeps its id."""
-    phys = F.coalesce(physical_db(db_id, sessions), F.concat(F.lit("missing:"), F.col(db_id)))
-    return F.xxhash64(phys, execution_text(sql))
-
-
-def number_queries(queries: DataFrame, sessions: DatabaseSessions) -> DataFrame:
-    """Distinct ``(physical db, exec_sql)`` with a stable ``query_id``."""
-    return (queries.select(physical_db("db_id", sessions).alias("phys"), "db_id",
-                           execution_text("sql").alias("exec_sql"),
-                           query_key("db_id", "sql", sessions).alias("query_id"))
-            .groupBy("query_id").agg(F.first("phys").alias("phys"), F.min("db_id").alias("db_id"),
-                                     F.first("exec_sql").alias("exec_sql")))
+def with_query_ids(queries: DataFrame, sessions: DatabaseSessions, **texts: str) -> DataFrame:
+    """Adds ``phys`` (the physical database, NULL when missing) and for each
+    ``name="text column"`` the query's execution text ``name_sql`` and id ``name``."""
+    spark = queries.sparkSession
+    known = spark.createDataFrame(sorted(sessions.physical_map().items()), "_db string, phys string")
+    found = queries.join(known, queries["db_id"] == F.col("_db"), "left").drop("_db")
+    place = F.coalesce("phys", F.concat(F.lit("missing:"), F.coalesce("db_id", F.lit(""))))
+    for name, text in texts.items():
+        found = found.withColumn(f"{name}_sql", execution_text(text))
+        found = found.withColumn(name, F.sha2(F.concat(place, F.lit("\u0000"), F.col(f"{name}_sql")).cast("binary"), 256))
+    return found
 
 
 def execute_queries(spark: SparkSession, queries: DataFrame, sessions: DatabaseSessions,
                     max_workers: int = 8) -> tuple[DataFrame, DataFrame]:
-    """``queries(db_id, sql)`` -> ``(rows(query_id, row), status(query_id, db_id,
-    exec_sql, error, n_rows))``; n_rows is -1 on error."""
-    numbered = number_queries(queries, sessions)
+    """``queries(db_id, sql)`` -> ``(rows(query_id, row, n), status(query_id, db_id,
+    exec_sql, error, n_rows))``; each different text runs once per physical database;
+    n is how often a row occurs; n_rows is -1 on error."""
+    numbered = (with_query_ids(queries.select("db_id", "sql"), sessions, query_id="sql")
+                .groupBy("query_id").agg(F.first("phys").alias("phys"), F.min("db_id").alias("db_id"),
+                                         F.first("query_id_sql").alias("exec_sql")))
+    numbered = stored(numbered, "queries")
     out = scratch_path(spark, "results")
     lock = threading.Lock()
-    errors: list[tuple[int, str]] = []
 
     def run(r):
-        qid, db_id, text, phys = r["query_id"], r["db_id"], r["exec_sql"], r["phys"]
-        if phys is None:
-            return qid, f"Database not found: {db_id}"
         try:
             with lock:
-                sess = sessions.session_for_key(phys)
-            df = sess.sql(f"SELECT * FROM (\n{text}\n)")
-            stringify_rows(df).write.mode("overwrite").parquet(f"{out}/query_id={qid}")
-            return qid, None
-        except Exception as e:  # noqa: BLE001 - every failure is a verdict
-            return qid, _error_text(e)
-
+                session = sessions.session_for_key(r["phys"])
+            session._jsparkSession.sessionState().sqlParser().parseQuery(r["exec_sql"])
+            rows = stringify_rows(session.sql(r["exec_sql"])).groupBy("row").agg(F.count("*").alias("n"))
+            rows.write.mode("overwrite").parquet(f"{out}/query_id={r['query_id']}")
+            return r["query_id"], None
+        except QUERY_ERRORS as e:
+            return r["query_id"], _error_text(e)
+
+    # a bounded number of texts is on the driver at a time
+    errors: list[tuple[str, str]] = []
+    done = 0
+    waiting = numbered.where("phys IS NOT NULL").toLocalIterator()
     with ThreadPoolExecutor(max_workers=max_workers) as pool:
-        for qid, err in pool.map(run, numbered.toLocalIterator()):
-            if err is not None:
-                errors.append((qid, err))
-
-    err_df = spark.createDataFrame(errors, STATUS_SCHEMA)
-    try:
-        rows = (spark.read.schema("row array<string>, query_id bigint")
-                .option("basePath", out).parquet(f"{out}/query_id=*"))
-    except Exception:  # noqa: BLE001 - no query produced a directory
-        rows = spark.createDataFrame([], "row array<string>, query_id bigint")
-    rows = rows.join(err_df.select("query_id"), "query_id", "left_anti")
-    counts = rows.groupBy("query_id").agg(F.count("*").alias("_n"))
-    status = (numbered.join(err_df, "query_id", "left")
-              .join(counts, "query_id", "left")
+        while some := list(islice(waiting, 8 * max_workers)):
+            results = list(pool.map(run, some))
+            errors += [x for x in results if x[1] is not None]
+            done += len(results)
+    schema = "query_id string, row array<string>, n bigint"
+    if done > len(errors):
+        rows = spark.read.schema(schema).parquet(out)
+    else:
+        rows = spark.createDataFrame([], schema)
+    failed = spark.createDataFrame(errors, "query_id string, error string")
+    # a failed write leaves no committed files, but its folder may hold an earlier attempt's
+    rows = rows.join(F.broadcast(failed.select("query_id")), "query_id", "left_anti") if errors else rows
+    sums = rows.groupBy("query_id").agg(
+        F.sum("n").alias("_n"), F.sum(F.col("n") * F.xxhash64("row").cast("decimal(38,0)")).cast("string").alias("digest"))
+    missing = F.when(F.col("phys").isNull(), F.concat(F.lit("Database not found: "), F.coalesce("db_id", F.lit(""))))
+    status = (numbered.join(failed, "query_id", "left").join(sums, "query_id", "left")
+              .withColumn("error", F.coalesce("error", missing))
               .select("query_id", "db_id", "exec_sql", "error",
-                      F.when(F.col("error").isNotNull(), F.lit(-1))
-                      .otherwise(F.coalesce("_n", F.lit(0))).cast("bigint").alias("n_rows")))
-    return rows.select("query_id", "row"), status
+                      F.when(F.col("error").isNotNull(), F.lit(-1)).otherwise(F.coalesce("_n", F.lit(0)))
+                      .cast("bigint").alias("n_rows"), F.coalesce("digest", F.lit("")).alias("digest")))
+    return rows.select("query_id", "row", "n"), stored(status, "query-status")
 
 
 def result_sets_equal(rows: DataFrame, status: DataFrame) -> DataFrame:
     """Order-insensitive multiset equality per ``pair_id``.
 
-    ``rows(pair_id, side, row)`` with side 'gold'/'pred'; ``status(pair_id, side,
-    error)``. Error (or missing status) on either side -> False. Two empty results
+    ``rows(pair_id, side, row)`` with side 'gold'/'pred' and optionally a count ``n``;
+    ``status(pair_id, side, error)``. Error (or missing status) on either side -> False. Two empty results
     match, so the verdict starts from the status table and the row check is a
     left join defaulting to True.
     """
-    signed = rows.select("pair_id", "row",
-                         F.when(F.col("side") == "gold", F.lit(1)).otherwise(F.lit(-1)).alias("s"))
+    n = F.col("n") if "n" in rows.columns else F.lit(1)
+    signed = rows.select("pair_id", "row", F.when(F.col("side") == "gold", n).otherwise(-n).alias("s"))
     diff = (signed.groupBy("pair_id", "row").agg(F.sum("s").alias("d"))
             .groupBy("pair_id").agg(F.bool_and(F.col("d") == 0).alias("_same")))
     st = status.groupBy("pair_id").agg(
@@ -134,39 +133,37 @@ def execution_accuracy(spark: SparkSession, pairs: DataFrame, sessions: Database
     Output ``(example_id, db_id, exec_match, gold_rows, pred_rows, gold_error,
     pred_error, db_found)``. A missing database gives False with both errors set
     and -1 rows (``db_found`` False so metrics do not count it as an execution
-    error). Queries are executed once per distinct text; result multisets are
-    compared once per distinct (gold, pred) query pair.
+    error). Queries are executed once per distinct text. A pair of the same query
+    needs no comparison, one whose row counts or digests differ is no match, and only the
+    remaining pairs have their rows compared.
     """
-    # The pair table feeds the executions and six verdict branches: cut its lineage
-    # once (reliable checkpoint in the shared folder) so it is derived a single time.
-    shared_root(spark)
-    pairs = pairs.select("example_id", "db_id", "gold_sql", "pred_sql").checkpoint(eager=True)
-    sides = (pairs.select("db_id", F.col("gold_sql").alias("sql"))
-             .unionByName(pairs.select("db_id", F.col("pred_sql").alias("sql"))))
+    keyed = stored(with_query_ids(pairs.select("example_id", "db_id", "gold_sql", "pred_sql"), sessions,
+                                  gq="gold_sql", pq="pred_sql")
+                   .select("example_id", "db_id", "phys", "gq", "pq", "gold_sql", "pred_sql"), "pairs")
+    sides = (keyed.select("db_id", F.col("gold_sql").alias("sql"))
+             .unionByName(keyed.select("db_id", F.col("pred_sql").alias("sql"))))
     rows, status = execute_queries(spark, sides, sessions, max_workers)
-    qid = lambda c: query_key("db_id", c, sessions)
-    keyed = pairs.select("example_id", "db_id", qid("gold_sql").alias("gq"), qid("pred_sql").alias("pq"))
-    qpairs = keyed.select("gq", "pq").distinct().withColumn("pair_id", F.xxhash64("gq", "pq"))
-    long_rows = (qpairs.join(rows.withColumnRenamed("query_id", "gq"), "gq")
-                 .select("pair_id", F.lit("gold").alias("side"), "row")
-                 .unionByName(qpairs.join(rows.withColumnRenamed("query_id", "pq"), "pq")
-                              .select("pair_id", F.lit("pred").alias("side"), "row")))
-    st = status.select("query_id", "error", "n_rows")
-    long_status = (qpairs.join(st.withColumnRenamed("query_id", "gq"), "gq")
-                   .select("pair_id", F.lit("gold").alias("side"), "error")
-                   .unionByName(qpairs.join(st.withColumnRenamed("query_id", "pq"), "pq")
-                                .select("pair_id", F.lit("pred").alias("side"), "error")))
-    verdict = result_sets_equal(long_rows, long_status)
-    g = st.select(F.col("query_id").alias("gq"), F.col("error").alias("gold_error"),
-                  F.col("n_rows").alias("gold_rows"))
-    p = st.select(F.col("query_id").alias("pq"), F.col("error").alias("pred_error"),
-                  F.col("n_rows").alias("pred_rows"))
-    res = (keyed.join(qpairs, ["gq", "pq"]).join(verdict, "pair_id", "left")
-           .join(g, "gq", "left").join(p, "pq", "left"))
-    # registry size = number of databases, held on the driver by the sessions object
-    known = sorted(sessions.tables.keys())
-    found_col = F.col("db_id").isin(known) if known else F.lit(False)
-    return res.select("example_id", "db_id",
-                      F.coalesce("exec_match", F.lit(False)).alias("exec_match"),
-                      "gold_rows", "pred_rows", "gold_error", "pred_error",
-                      found_col.alias("db_found"))
+
+    def side(name: str, key: str) -> DataFrame:
+        return status.select(F.col("query_id").alias(key), F.col("error").alias(f"{name}_error"),
+                             F.col("n_rows").alias(f"{name}_rows"), F.col("digest").alias(f"{name}_digest"))
+    judged = (keyed.select("gq", "pq").distinct().join(side("gold", "gq"), "gq").join(side("pred", "pq"), "pq")
+              .withColumn("pair_id", F.concat_ws(":", "gq", "pq"))
+              .withColumn("run", F.col("gold_error").isNull() & F.col("pred_error").isNull())
+              .withColumn("open", F.col("run") & (F.col("gq") != F.col("pq")) & (F.col("gold_rows") == F.col("pred_rows"))
+                          & (F.col("gold_digest") == F.col("pred_digest"))))
+    open_ = judged.where("open")
+    both = None
+    for name, key in (("gold", "gq"), ("pred", "pq")):
+        part = (open_.select("pair_id", F.col(key).alias("query_id")).join(rows, "query_id")
+                .select("pair_id", F.lit(name).alias("side"), "row", "n"))
+        both = part if both is None else both.unionByName(part)
+    quiet = None
+    for name in ("gold", "pred"):
+        part = open_.select("pair_id", F.lit(name).alias("side"), F.lit(None).cast("string").alias("error"))
+        quiet = part if quiet is None else quiet.unionByName(part)
+    verdict = result_sets_equal(both, quiet).withColumnRenamed("exec_match", "same")
+    res = keyed.join(judged.join(verdict, "pair_id", "left"), ["gq", "pq"])
+    match = F.when(F.col("open"), F.col("same")).otherwise(F.col("run") & (F.col("gq") == F.col("pq")))
+    return res.select("example_id", "db_id", match.alias("exec_match"), "gold_rows", "pred_rows", "gold_error",
+                      "pred_error", F.col("phys").isNotNull().alias("db_found"))

@@ -68,6 +68,27 @@ EXECUTION_PAIRS = (
     (19, "src10", "SELECT 1 AS x", "SELECT 1.0 AS x"),
     (20, "src11", "SELECT l_linenumber FROM lineitem WHERE l_orderkey = 1",
      "SELECT l_linenumber FROM lineitem WHERE l_orderkey = 1 UNION ALL SELECT l_linenumber FROM lineitem WHERE l_orderkey = 1"),
+    (21, "src12", "SELECT sum(l_linenumber) FROM lineitem", "SELECT sum(l_linenumber) AS s FROM lineitem WHERE l_linenumber > 0"),
+    (22, "src12", "SELECT min(c_acctbal), avg(c_custkey) FROM customer",
+     "SELECT min(c_acctbal), avg(c_custkey) FROM customer WHERE c_nationkey >= 0"),
+    (23, "src14", "SELECT c_nationkey, count(*) FROM customer GROUP BY c_nationkey HAVING count(*) > 60",
+     "SELECT c_nationkey, count(*) FROM customer GROUP BY c_nationkey HAVING count(*) >= 61"),
+    (24, "src14", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)",
+     "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT max(o_totalprice) FROM orders)"),
+    (25, "src15", "SELECT n_name FROM nation UNION SELECT r_name FROM region", "SELECT r_name FROM region UNION SELECT n_name FROM nation"),
+    (26, "src15", "SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier",
+     "SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)"),
+    (27, "src16", "SELECT p_name FROM part WHERE p_name LIKE '%ar%'", "SELECT p_name FROM part WHERE p_name LIKE '%ar'"),
+    (28, "src16", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5",
+     "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 6"),
+    (29, "src18", "SELECT r_name, count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey "
+     "JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
+     "SELECT r_name, count(l_orderkey) FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey "
+     "JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY r_name"),
+    (30, "src18", "SELECT n_name FROM nation", "nation"),
+    (31, "src19", "SELECT 1 AS a", "SELECT 1 AS a) UNION ALL (SELECT 2"),
+    (32, "src19", "SELECT count(*) FROM nation", "SELECT reflect('java.lang.System', 'currentTimeMillis')"),
+    (33, "src0", "SELECT 1 AS a", "SELECT count(*) FROM parquet.`/tmp`"),
 )
 
 
@@ -83,8 +104,14 @@ def _pick(arr_values, idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in arr_values]), (idx + 1).cast("int"))
 
 
-def gold_sql(doc_id="doc_id") -> Column:
-    return _pick(GOLD_TEMPLATES, F.pmod(F.col(doc_id), F.lit(len(GOLD_TEMPLATES))))
+def mixed_key() -> Column:
+    """``doc_id + doc_id div 10``: the held-out documents (ids divisible by 10) take every template, variant
+    and response shape."""
+    return F.col("doc_id") + F.expr("doc_id div 10")
+
+
+def gold_sql() -> Column:
+    return _pick(GOLD_TEMPLATES, F.pmod(mixed_key(), F.lit(len(GOLD_TEMPLATES))))
 
 
 def raw_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,24 +178,35 @@ def train_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_examples(spark, sf_dir).where(F.col("split") == "train")
 
 
-def perturbed_sql(gold: Column, doc_id: Column) -> Column:
+def predicted_text(gold: str, variant: int) -> str:
     """Predicted SQL variants: same, upper-cased, doubled spaces, comments + ';',
-    re-spaced commas."""
-    v = F.pmod(doc_id, F.lit(5))
-    return (F.when(v == 0, gold)
-            .when(v == 1, F.upper(gold))
-            .when(v == 2, F.replace(gold, F.lit(" "), F.lit("  ")))
-            .when(v == 3, F.concat(F.lit("SELECT /* pick */ "), F.substring(gold, 8, 100000),
-                                   F.lit(" -- generated\n;")))
-            .otherwise(F.replace(gold, F.lit(" ,  "), F.lit(", "))))
+    re-spaced commas, unknown column, other tables, other aggregate, no SQL, same result by another text."""
+    if variant == 7:
+        for a, b in (("count(*)", "max(1)"), ("max(", "min("), ("avg(", "max(")):
+            if a in gold:
+                return gold.replace(a, b)
+        return gold
+    return (gold, gold.upper(), gold.replace(" ", "  "), "SELECT /* pick */ " + gold.removeprefix("SELECT ") + " -- generated\n;",
+            gold.replace(" ,  ", ", "), gold.replace("SELECT ", "SELECT no_such_column, ", 1),
+            "SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey", "",
+            "SELEC " + gold.removeprefix("SELECT "), f"SELECT * FROM ({gold}) AS q")[variant]
+
+
+N_VARIANTS = 10
+PREDICTED = tuple(predicted_text(g, v) for g in GOLD_TEMPLATES for v in range(N_VARIANTS))
+
+
+def perturbed_sql() -> Column:
+    t, v = F.pmod(mixed_key(), F.lit(len(GOLD_TEMPLATES))), F.pmod(mixed_key(), F.lit(N_VARIANTS))
+    return _pick(PREDICTED, t * N_VARIANTS + v)
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(mode, index, response, generation_time_s, pos)`` wrapping a perturbed
     prediction in six response shapes."""
     d = table(spark, sf_dir, "documents")
-    pred = perturbed_sql(gold_sql(), F.col("doc_id"))
-    w = F.pmod("doc_id", F.lit(6))
+    pred = perturbed_sql()
+    w = F.pmod(mixed_key(), F.lit(6))
     resp = (F.when(w == 0, F.concat(F.lit("```sql\n"), pred, F.lit("\n```")))
             .when(w == 1, F.concat(F.lit("Here is the query:\n```\n"), pred, F.lit("\n```\nIt answers the question.")))
             .when(w == 2, F.concat(pred, F.lit(";\n\nThis query "), F.col("text")))
@@ -184,7 +222,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("pos"), gold_sql().alias("gold_sql"),
-                    perturbed_sql(gold_sql(), F.col("doc_id")).alias("pred_sql"))
+                    perturbed_sql().alias("pred_sql"))
 
 
 def predictions_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,8 @@
 Each oracle re-derives its fixture inputs from the pre-registered views with
 the same deterministic rules as ``fixtures.py`` and recomputes the operator in
 plain SQL (joins, window functions, ``string_agg``), independently of the Spark
-formulation. Keys whose result depends on executing *derived* SQL text
-(``prediction_records``, ``error_buckets``) have no static SQL form and are left
-out.
+formulation. Scored predictions come from fixed templates and variants, so their
+execution verdicts are computed by running every template beside its variants.
 """
 
 from __future__ import annotations
@@ -39,10 +38,10 @@ def normalize(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace({joined}, '[\\s;]+$', ''), '\\s+', ' ', 'g'))"
 
 
-GOLD = "[" + ", ".join(lit(t) for t in fx.GOLD_TEMPLATES) + f"][doc_id % {len(fx.GOLD_TEMPLATES)} + 1]"
-PERTURB = (f"CASE doc_id % 5 WHEN 0 THEN g WHEN 1 THEN upper(g) WHEN 2 THEN replace(g, ' ', '  ') "
-           f"WHEN 3 THEN 'SELECT /* pick */ ' || substr(g, 8, 100000) || ' -- generated' || {NL} || ';' "
-           f"ELSE replace(g, ' ,  ', ', ') END")
+KEY = "(doc_id + doc_id // 10)"
+GOLD = "[" + ", ".join(lit(t) for t in fx.GOLD_TEMPLATES) + f"][{KEY} % {len(fx.GOLD_TEMPLATES)} + 1]"
+PERTURB = ("[" + ", ".join(text_lit(t) for t in fx.PREDICTED)
+           + f"][({KEY} % {len(fx.GOLD_TEMPLATES)}) * {fx.N_VARIANTS} + {KEY} % {fx.N_VARIANTS} + 1]")
 RAW_TYPES = "[" + ", ".join(lit(t) for t in fx.RAW_TYPES) + "]"
 K = "(1 + n_chars % 6)"
 T_ = "(1 + doc_id % 3)"
@@ -153,7 +152,7 @@ picks AS (
   SELECT s."index", s.slot, s.g, tr.pos AS pick_pos, tr.db_id AS pick_db_id, tr.schema, tr.question, tr.output
   FROM slots s JOIN tr ON tr.g = s.g)"""
 
-RESP = (f"""CASE doc_id % 6
+RESP = (f"""CASE {KEY} % 6
       WHEN 0 THEN '```sql' || {NL} || pred || {NL} || '```'
       WHEN 1 THEN 'Here is the query:' || {NL} || '```' || {NL} || pred || {NL} || '```' || {NL} || 'It answers the question.'
       WHEN 2 THEN pred || ';' || {NL} || {NL} || 'This query ' || text
@@ -234,7 +233,9 @@ L = len(fx.TOKEN_TEMPLATE)
 # ------------------------------------------------------------------ execution pairs
 # Number of output columns of each distinct execution text (fixture metadata) and
 # the texts Spark rejects (analysis/parse errors): the oracle cannot run those.
-FAILING_TEXTS = {"SELECT s_nme FROM supplier", "SELECT count(*) FROM lineitems", "DELETE FROM nation"}
+FAILING_TEXTS = {"SELECT s_nme FROM supplier", "SELECT count(*) FROM lineitems", "DELETE FROM nation", "nation",
+                 "SELECT 1 AS a) UNION ALL (SELECT 2", "SELECT reflect('java.lang.System', 'currentTimeMillis')",
+                 "SELECT count(*) FROM parquet.`/tmp`"}
 MISSING_DBS = {"src3"}
 
 
@@ -252,8 +253,8 @@ def _exec_text(sql: str) -> str:
     return sql.strip().rstrip("; \n")
 
 
-def _strrows(sql: str, sign: int) -> str:
-    n = _ncols(sql)
+def _strrows(sql: str, sign: int, n: int | None = None) -> str:
+    n = n or _ncols(sql)
     cols = ", ".join(f"c{i}" for i in range(n))
     vals = ", ".join(f"coalesce(CAST(c{i} AS VARCHAR), 'None')" for i in range(n))
     return f"SELECT [{vals}] AS r, {sign} AS s FROM ({sql}) AS q({cols})"
@@ -297,6 +298,62 @@ def _execute_queries_sql() -> str:
     return "\nUNION ALL ".join(rows)
 
 
+FAILING_VARIANTS = (5, 8)      # an unknown column; no SQL
+FAILING_SHAPES = (4, 5)        # the text of a fence tagged 'sqlite' begins with 'ite'; prose before the SQL
+
+
+def _variant_verdicts() -> str:
+    """``(t, v, same)`` for every template and variant that occur together and run."""
+    rows = []
+    for k in range(40):
+        t, v = k % len(fx.GOLD_TEMPLATES), k % fx.N_VARIANTS
+        if v in FAILING_VARIANTS:
+            continue
+        gold, pred = fx.GOLD_TEMPLATES[t], fx.PREDICTED[t * fx.N_VARIANTS + v].rstrip("; \n")
+        n = _ncols(gold)
+        rows.append(f"SELECT {t} AS t, {v} AS v, (SELECT count(*) = 0 FROM (SELECT r FROM ({_strrows(gold, 1, n)} UNION ALL "
+                    f"{_strrows(pred + chr(10), -1, 1 if v == 6 else n)}) GROUP BY r HAVING sum(s) <> 0)) AS same")
+    return "\nUNION ALL ".join(rows)
+
+
+def _records_cte() -> str:
+    return f"""WITH {CTE_SPLITS},
+{CTE_EXTRACT},
+verdicts AS ({_variant_verdicts()}),
+scored AS (
+  SELECT te."index", te.db_id, te.output AS gold_sql, e.pred_sql, r.generation_time_s,
+         {KEY.replace('doc_id', 'te.pos')} AS k, te.db_id NOT LIKE '%3' AS db_found
+  FROM test te JOIN extracted e ON e."index" = te.pos JOIN responses r ON r.pos = te.pos),
+records AS (
+  SELECT 'zero-shot' AS mode, "index", db_id, gold_sql, pred_sql,
+         coalesce({normalize('gold_sql')} = {normalize('pred_sql')}, false) AS exact_match,
+         NOT db_found OR k % 6 IN {FAILING_SHAPES} OR k % 10 IN {FAILING_VARIANTS} AS pred_failed,
+         k % 10 = 5 AND k % 6 NOT IN {FAILING_SHAPES} AS bad_name,
+         db_found AND k % 6 NOT IN {FAILING_SHAPES} AND coalesce(v.same, false) AS exec_match,
+         db_found, round(generation_time_s, 2) AS generation_time_s
+  FROM scored LEFT JOIN verdicts v ON v.t = k % 8 AND v.v = k % 10)"""
+
+
+def _word_list(x: str, pattern: str, case: str) -> str:
+    return f"list_sort(regexp_extract_all({case}({x}), {lit(pattern)}, 1))"
+
+
+def _error_buckets_sql() -> str:
+    tables = lambda x: f"list_sort(list_distinct({_word_list(x, '(?:from|join)[ ]+([a-z_][a-z0-9_]*)', 'lower')}))"
+    joins = lambda x: f"len(regexp_extract_all(upper({x}), '\\bJOIN\\b'))"
+    aggs = lambda x: _word_list(x, r"\b(COUNT|SUM|AVG|MIN|MAX)\s*\(", "upper")
+    return _records_cte() + f""",
+named AS (
+  SELECT mode, "index", CASE WHEN db_found AND pred_failed AND bad_name THEN 'schema_misunderstanding'
+         WHEN db_found AND pred_failed THEN 'invalid_sql'
+         WHEN exec_match AND NOT exact_match THEN 'false_negative_exact_match'
+         WHEN NOT db_found AND exact_match THEN 'other'
+         WHEN {joins('gold_sql')} <> {joins('pred_sql')} OR {tables('gold_sql')} <> {tables('pred_sql')} THEN 'wrong_join'
+         WHEN {aggs('gold_sql')} <> {aggs('pred_sql')} THEN 'wrong_aggregation' ELSE 'other' END AS category
+  FROM records WHERE NOT (exact_match AND exec_match))
+SELECT mode, category, count(*) AS n_examples, list_sort(list("index"))[1:2] AS examples FROM named GROUP BY mode, category"""
+
+
 def _feature_flags(q: str) -> str:
     flags = [("JOINS", f"contains({q}, 'JOIN')"),
              ("SUBQUERY", f"regexp_matches({q}, '(?s)FROM.*SELECT')"),
@@ -470,7 +527,11 @@ ORACLES: dict[str, str] = {
     # execution
     "execute_queries": _execute_queries_sql(),
     "execution_accuracy": _execution_accuracy_sql(),
-    "missing_database_verdict": f"SELECT * FROM ({_execution_accuracy_sql()}) WHERE NOT db_found",
+    "missing_database_verdict": f"""WITH {CTE_RAW} SELECT pos AS example_id, db_id, false AS exec_match, CAST(-1 AS BIGINT) AS gold_rows,
+        CAST(-1 AS BIGINT) AS pred_rows, true AS gold_failed, true AS pred_failed, false AS db_found FROM raw WHERE db_id LIKE '%3'""",
+    "prediction_records": _records_cte() + """
+SELECT mode, "index", db_id, exact_match, exec_match, pred_failed, db_found, generation_time_s FROM records""",
+    "error_buckets": _error_buckets_sql(),
     "compare_result_sets": f"""WITH
         li AS (SELECT l_orderkey AS id, l_linenumber, l_returnflag, CAST(l_linenumber AS VARCHAR) AS ln, {_LINE_REST} AS rest FROM lineitem),
         g AS (SELECT id, list_concat([ln], rest, [l_returnflag]) AS r, 1 AS s FROM li),

@@ -11,7 +11,7 @@ from corpusql.functions.prompts import CONFIG_PROMPT_TEMPLATE
 from corpusql.operators import batches, catalog as cat, corpus, matching, metrics, profile, prompting
 from corpusql.operators import execution
 from corpusql.plans import fixtures as fx
-from corpusql.session import scratch_path
+from corpusql.session import scratch_path, stored
 from corpusql.sources import readers, registry as reg, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,7 +236,15 @@ def q_execution_accuracy(spark, sf):
 
 
 def q_missing_database_verdict(spark, sf):
-    return q_execution_accuracy(spark, sf).where(~F.col("db_found"))
+    """Every example of a database that is not there, without running a text."""
+    sessions = _sessions(spark, sf)
+    test = fx.raw_examples(spark, sf).select(F.col("pos").alias("example_id"), "db_id", F.col("query").alias("gold_sql"),
+                                             F.col("query").alias("pred_sql"))
+    known = spark.createDataFrame([(d,) for d in sorted(sessions.physical_map())], "db_id string")
+    v = execution.execution_accuracy(spark, test.join(known, "db_id", "left_anti"), sessions)
+    return v.select("example_id", "db_id", "exec_match", "gold_rows", "pred_rows",
+                    F.col("gold_error").isNotNull().alias("gold_failed"),
+                    F.col("pred_error").isNotNull().alias("pred_failed"), "db_found")
 
 
 # ---------------------------------------------------------------- metrics
@@ -245,13 +253,13 @@ def _records(spark, sf):
     test = fx.test_examples(spark, sf).select("index", "db_id", "question", "output", "pos")
     resp = fx.responses(spark, sf).join(test.select("pos", F.col("index").alias("_i")), "pos") \
         .select("mode", F.col("_i").alias("index"), "response", "generation_time_s")
-    preds = matching.extract_predictions(resp).join(test.select("index", "db_id", "output"), "index")
-    pairs = preds.select(F.col("index").alias("example_id"), "db_id",
-                         F.col("output").alias("gold_sql"), F.col("pred_sql"))
+    preds = stored(matching.extract_predictions(resp), "predictions")      # extracted once
+    pairs = preds.join(test.select("index", "db_id", "output"), "index").select(
+        F.col("index").alias("example_id"), "db_id", F.col("output").alias("gold_sql"), F.col("pred_sql"))
     v = execution.execution_accuracy(spark, pairs, _sessions(spark, sf))
     verdicts = v.select(F.lit("zero-shot").alias("mode"), F.col("example_id").alias("index"),
                         "exec_match", "pred_error", "db_found")
-    return metrics.prediction_records(test, resp, verdicts)
+    return metrics.prediction_records(test, preds, verdicts)
 
 
 def q_prediction_records(spark, sf):

@@ -17,18 +17,37 @@ def registry_from_dirs(spark: SparkSession, entries: list[tuple[str, str, str]])
     return spark.createDataFrame(entries, "db_id string, table_name string, path string")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its own file system."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def resolve_database(db_ids: DataFrame, registry: DataFrame) -> DataFrame:
-    """Per requested ``db_id``: its table count and whether it exists."""
-    tables = registry.groupBy("db_id").agg(F.count("*").alias("n_tables"))
+    """Per requested ``db_id``: its table count and whether it exists, i.e. has registered
+    tables and all their paths are there. Paths are looked up once each."""
+    spark = db_ids.sparkSession
+    wanted = registry.join(db_ids.select("db_id").distinct(), "db_id", "left_semi")
+    there = [(r["path"], path_exists(spark, r["path"])) for r in wanted.select("path").distinct().toLocalIterator()]
+    paths = spark.createDataFrame(there, "path string, there boolean")
+    tables = wanted.join(paths, "path").groupBy("db_id").agg(
+        F.count("*").alias("n_tables"), F.bool_and("there").alias("there"))
     return (db_ids.select("db_id").distinct()
             .join(tables, "db_id", "left")
             .select("db_id",
                     F.coalesce("n_tables", F.lit(0)).cast("bigint").alias("n_tables"),
-                    F.col("n_tables").isNotNull().alias("found")))
+                    F.coalesce("there", F.lit(False)).alias("found")))
 
 
 class DatabaseSessions:
-    """Lazily created child sessions, one per ``db_id``, with the db's tables as views."""
+    """Lazily created child sessions, one per physical database, with its tables as views.
+
+    Texts that run in them come from models: they cannot read files by path nor call JVM
+    methods.
+    """
+
+    UNSAFE_FUNCTIONS = ("reflect", "java_method", "try_reflect")
 
     def __init__(self, spark: SparkSession, tables: dict[str, dict[str, str]],
                  fmt: str = "parquet"):
@@ -36,36 +55,34 @@ class DatabaseSessions:
         self.tables = tables
         self.fmt = fmt
         self._sessions: dict[str, SparkSession] = {}
-
-    @classmethod
-    def from_registry(cls, spark: SparkSession, registry_rows) -> "DatabaseSessions":
-        tables: dict[str, dict[str, str]] = {}
-        for r in registry_rows:
-            tables.setdefault(r["db_id"], {})[r["table_name"]] = r["path"]
-        return cls(spark, tables)
-
-    def has(self, db_id: str) -> bool:
-        return db_id in self.tables
-
-    def physical_key(self, db_id: str) -> str | None:
-        """Identity of the database's storage: ids whose tables resolve to the same
-        paths share results, so a query text runs once per physical database."""
-        if db_id not in self.tables:
-            return None
-        items = sorted(self.tables[db_id].items())
-        return hashlib.md5(repr(items).encode("utf-8")).hexdigest()
+        self._there: dict[str, bool] = {}
+        self._database: dict[str, str] = {}      # one database of each physical key
+        self._key: dict[str, str] = {}
+        for db_id in sorted(tables):
+            if all(self._exists(path) for path in tables[db_id].values()):
+                items = sorted(tables[db_id].items())
+                key = hashlib.sha256(repr(items).encode("utf-8")).hexdigest()
+                self._key[db_id] = key
+                self._database.setdefault(key, db_id)
+
+    def _exists(self, path: str) -> bool:
+        if path not in self._there:
+            self._there[path] = path_exists(self.spark, path)
+        return self._there[path]
 
     def physical_map(self) -> dict[str, str]:
-        return {d: self.physical_key(d) for d in self.tables}
+        """Identity of each existing database's storage: ids whose tables resolve to the same
+        paths share results, so a query text runs once per physical database."""
+        return dict(self._key)
 
     def session_for_key(self, key: str) -> SparkSession:
         if key not in self._sessions:
-            db_id = next(d for d in sorted(self.tables) if self.physical_key(d) == key)
             s = self.spark.newSession()
-            for name, path in self.tables[db_id].items():
+            s.conf.set("spark.sql.runSQLOnFiles", "false")
+            functions = s._jsparkSession.sessionState().functionRegistry()
+            for name in self.UNSAFE_FUNCTIONS:
+                functions.dropFunction(self.spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
+            for name, path in self.tables[self._database[key]].items():
                 s.read.format(self.fmt).load(path).createOrReplaceTempView(name)
             self._sessions[key] = s
         return self._sessions[key]
-
-    def session(self, db_id: str) -> SparkSession:
-        return self.session_for_key(self.physical_key(db_id))

@@ -18,6 +18,6 @@ def spark():
                .config("spark.sql.session.timeZone", "UTC"))
     s = builder.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
-    if not (s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="corpusql-test-"))
+    if not s.conf.get("spark.checkpoint.dir", None):
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusql-test-"))
     yield s

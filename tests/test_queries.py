@@ -19,7 +19,8 @@ def test_entry(spark):
 def test_every_query_has_oracle_or_reason():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"prediction_records", "error_buckets"}
+    # only operators of the training-data pipeline may lack one; tests/llm holds them against brute force
+    assert all(name == "pipeline" or name.startswith("op") for name in set(q) - set(o))
 
 
 @pytest.mark.parametrize("name", FAST)
