@@ -14,21 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-PIECE_BYTES = 1 << 20
-
+from corpusql.session import shared_root
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; raises where none is configured."""
-    root = (spark.conf.get("spark.checkpoint.dir", None)
-            or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-            or spark.sparkContext.getCheckpointDir())
-    if not root:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return root.rstrip("/")
+PIECE_BYTES = 1 << 20
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -40,15 +32,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes that Spark's optimizer expects ``df`` to read (file sizes for a scan)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def parts_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
-    """A partition count that follows the input's size."""
-    return max(least, -(-input_bytes(df) // bytes_each))
+def parts_for(df: DataFrame, bytes_each: int) -> int:
+    """A partition count that follows the bytes ``df`` is expected to read; at least the
+    session's, which also stands where the size is unknown."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return usual if size >= 1 << 60 else max(usual, -(-size // bytes_each))
 
 
 # --- texts of an Arrow batch as byte arrays --------------------------------------

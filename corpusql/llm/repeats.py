@@ -24,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusql.llm.common import by_batch, input_bytes, least_of_runs, mixed, pieces, span_hashes, text_bytes, window_hashes, words
+from corpusql.llm.common import by_batch, least_of_runs, mixed, parts_for, pieces, span_hashes, window_hashes, words
 
 HEAVY = 1 << 14
 LEAST_HEAVY = 64
@@ -89,6 +90,58 @@ def _long(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64))
 
 
+# --- rows that travel packed ------------------------------------------------------------
+# Millions of small rows are shuffled as one compressed row per task and part.
+
+PACKED = "part int, content binary"
+DTYPES = (np.int64, np.int64, np.int64, np.int32)
+SEGMENT = (np.int64, np.int64, np.int32, np.int64, np.int64)     # key, seg, starts, n, least
+
+
+def _freeze(columns: list[np.ndarray], texts: list[bytes] | None) -> bytes:
+    body = b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+    if texts is not None:
+        body += np.array([len(t) for t in texts], np.int32).tobytes() + b"".join(texts)
+    return zstd.compress(len(columns[0]).to_bytes(4, "little") + body, 1)
+
+
+def _thaw(content: bytes, dtypes) -> tuple[list[np.ndarray], list[bytes]]:
+    body = zstd.decompress(content)
+    n, at, columns = int.from_bytes(body[:4], "little"), 4, []
+    for d in dtypes:
+        columns.append(np.frombuffer(body, d, n, at))
+        at += n * np.dtype(d).itemsize
+    texts: list[bytes] = []
+    if at < len(body):
+        ends = np.cumsum(np.frombuffer(body, np.int32, n, at), dtype=np.int64) + at + 4 * n
+        texts = [body[a:b] for a, b in zip([at + 4 * n, *ends[:-1].tolist()], ends.tolist())]
+    return columns, texts
+
+
+def _dealt(rows: list[list[np.ndarray]], texts: list[bytes] | None, parts: int, apart: bool = False):
+    """Packed rows per part of the first column, a hash; ``apart``: not dealt, part -1."""
+    if not rows or not sum(len(r[0]) for r in rows):
+        return
+    columns = [np.concatenate(c) for c in zip(*rows)]
+    if apart:
+        yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([_freeze(columns, texts)], pa.binary())], ["part", "content"])
+        return
+    part = (mixed(columns[0].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cuts)):
+        use = order[cuts[p]:cuts[p + 1]]
+        content = _freeze([c[use] for c in columns], None if texts is None else [texts[i] for i in use])
+        yield pa.record_batch([pa.array([p], pa.int32()), pa.array([content], pa.binary())], ["part", "content"])
+
+
+def _gathered(batches, dtypes):
+    """All rows of a task's part together."""
+    found = [_thaw(blob.as_py(), dtypes) for batch in batches for blob in batch.column(1)]
+    if found:
+        yield [np.concatenate(c) for c in zip(*(f[0] for f in found))], [t for f in found for t in f[1]]
+
+
 def heavy_runs(docs: DataFrame, kind: Kind) -> np.ndarray:
     """Sorted hashes of the anchors that make up at least one of ``HEAVY`` of all. Such a
     hash has that share in some task, so tasks report no others, and exact sums of
@@ -116,34 +169,41 @@ def heavy_runs(docs: DataFrame, kind: Kind) -> np.ndarray:
 def shared_anchors(docs: DataFrame, kind: Kind, heavy: np.ndarray, across: bool, parts: int) -> DataFrame:
     """``(did, tid, picks)``: per document the anchors whose hash occurs again (``across``:
     in another document)."""
-    def emit(batch):
-        did, tid = (batch.column(i).to_numpy() for i in (0, 1))
-        for i, j, data, at in pieces(batch.column(2)):
-            values, first, _, _ = kind.units(data, at)
-            a = anchors(kind, values, first, heavy)
-            yield pa.record_batch([pa.array(did[i:j][a.doc]), pa.array(tid[i:j][a.doc]), pa.array(a.nth.astype(np.int32)),
-                                   _long(a.key), pa.array(a.heavy)], ["did", "tid", "nth", "key", "heavy"])
-    schema = "did bigint, tid bigint, nth int, key bigint, heavy boolean"
-    every = docs.select("did", "tid", "text").mapInArrow(by_batch(emit), schema)
+    def emit(batches):
+        rare, heavies = [], []
+        for batch in batches:
+            did, tid = (batch.column(i).to_numpy() for i in (0, 1))
+            for i, j, data, at in pieces(batch.column(2)):
+                values, first, _, _ = kind.units(data, at)
+                a = anchors(kind, values, first, heavy)
+                row = [a.key.view(np.int64), did[i:j][a.doc], tid[i:j][a.doc], a.nth.astype(np.int32)]
+                rare.append([x[~a.heavy] for x in row])
+                heavies.append([x[a.heavy] for x in row])
+        yield from _dealt(rare, None, parts)
+        yield from _dealt(heavies, None, parts, apart=True)
 
     def again(batches):
-        got = list(batches)
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        key, did = (table.column(c).to_numpy() for c in ("key", "did"))
-        order = np.argsort(key, kind="stable")
-        new = np.append(True, key[order][1:] != key[order][:-1])
-        group = np.cumsum(new) - 1
-        begins = np.flatnonzero(new)
-        if across:
-            many = np.minimum.reduceat(did[order], begins) < np.maximum.reduceat(did[order], begins)
-        else:
-            many = np.diff(np.append(begins, len(key))) > 1
-        yield from table.select(["did", "tid", "nth"]).take(pa.array(np.sort(order[many[group]]))).to_batches()
-    rare = every.where("NOT heavy").select("key", "did", "tid", "nth").repartition(parts, "key")
-    found = rare.mapInArrow(again, "did bigint, tid bigint, nth int")
-    found = found.unionByName(every.where("heavy").select("did", "tid", "nth"))
+        for rows, _ in _gathered(batches, DTYPES):
+            key, did, tid, nth = rows
+            order = np.argsort(key, kind="stable")
+            new = np.append(True, key[order][1:] != key[order][:-1])
+            begins = np.flatnonzero(new)
+            if across:
+                many = np.minimum.reduceat(did[order], begins) < np.maximum.reduceat(did[order], begins)
+            else:
+                many = np.diff(np.append(begins, len(key))) > 1
+            use = np.sort(order[many[np.cumsum(new) - 1]])
+            yield pa.record_batch([pa.array(x[use]) for x in (did, tid, nth)], ["did", "tid", "nth"])
+
+    def open_(batches):
+        for batch in batches:
+            for blob in batch.column(1):
+                _, did, tid, nth = _thaw(blob.as_py(), DTYPES)[0]
+                yield pa.record_batch([pa.array(x) for x in (did, tid, nth)], ["did", "tid", "nth"])
+    every = docs.select("did", "tid", "text").mapInArrow(emit, PACKED)
+    schema = "did bigint, tid bigint, nth int"
+    found = every.where("part >= 0").repartitionById(parts, F.col("part")).mapInArrow(again, schema)
+    found = found.unionByName(every.where("part < 0").mapInArrow(open_, schema))
     return found.groupBy("did", "tid").agg(F.collect_list("nth").alias("picks"))
 
 
@@ -167,38 +227,33 @@ def _picked(kind: Kind, heavy: np.ndarray, batch: pa.RecordBatch):
         yield i, j, data, starts, ends, first, a, seg
 
 
-def segments(joined: DataFrame, kind: Kind, heavy: np.ndarray) -> DataFrame:
-    """``(key, seg, starts, n, least, most, text)``: different segments, once per task, with
-    the number of their occurrences, the least and the greatest ``did``."""
+def segments(joined: DataFrame, kind: Kind, heavy: np.ndarray, parts: int) -> DataFrame:
+    """Packed ``(key, seg, starts, n, least, text)``: different segments, once per task, with the
+    number of their occurrences and the least ``did``."""
     def run(batches):
         known: dict[tuple[int, int], int] = {}
-        text, rows = [], []
+        text, names, rows = [], [], []
         for batch in batches:
             did = batch.column(batch.schema.get_field_index("did")).to_numpy()
             for i, j, data, starts, ends, first, a, seg in _picked(kind, heavy, batch):
-                own = did[i:j][a.doc]
+                own = did[i:j][a.doc].tolist()
                 raw = data.tobytes()
                 begin, end = starts[a.lo].tolist(), ends[a.hi + kind.length - 1].tolist()
                 size = (a.hi - a.lo + 1).tolist()
                 for r, name in enumerate(zip(a.key.view(np.int64).tolist(), seg.view(np.int64).tolist())):
                     at = known.get(name)
-                    d = int(own[r])
                     if at is None:
                         known[name] = len(rows)
-                        rows.append([size[r], 1, d, d])
+                        names.append(name)
+                        rows.append([size[r], 1, own[r]])
                         text.append(raw[begin[r]:end[r]])
                     else:
-                        row = rows[at]
-                        row[1] += 1
-                        row[2], row[3] = min(row[2], d), max(row[3], d)
-        names = list(known)
-        for i in range(0, len(names), 4096):
-            some, own = names[i:i + 4096], rows[i:i + 4096]
-            yield pa.record_batch([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.int64()),
-                                   *(pa.array([r[c] for r in own], pa.int64()) for c in range(4)),
-                                   pa.array(text[i:i + 4096], pa.binary())],
-                                  ["key", "seg", "starts", "n", "least", "most", "text"])
-    return joined.mapInArrow(run, "key bigint, seg bigint, starts bigint, n bigint, least bigint, most bigint, text binary")
+                        rows[at][1] += 1
+                        rows[at][2] = min(rows[at][2], own[r])
+        if rows:
+            name, row = np.array(names, np.int64), np.array(rows, np.int64)
+            yield from _dealt([[name[:, 0], name[:, 1], row[:, 0].astype(np.int32), row[:, 1], row[:, 2]]], text, parts)
+    return joined.mapInArrow(run, PACKED)
 
 
 def occurrences(joined: DataFrame, kind: Kind, heavy: np.ndarray) -> DataFrame:
@@ -214,44 +269,32 @@ def occurrences(joined: DataFrame, kind: Kind, heavy: np.ndarray) -> DataFrame:
 Solve = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
 
 
-def solved(segs: DataFrame, solve: Solve, flags: str, parts: int, most_bytes: int) -> DataFrame:
+def solved(segs: DataFrame, solve: Solve, parts: int, most_bytes: int) -> DataFrame:
     """``(key, seg, flags)`` from ``solve(texts, starts, n, least)`` over whole keys, about
     ``most_bytes`` of text at a time; segments without flags are left out."""
     kind = pa.list_(pa.int64())
 
-    def chunk(rows: list[pa.RecordBatch]):
-        table = pa.Table.from_batches(rows)
-        key, seg, starts, n, least, most = (table.column(i).to_numpy() for i in range(6))
-        order = np.lexsort((least, seg, key))      # tasks sent equal segments: one each
-        new = np.append(True, (key[order][1:] != key[order][:-1]) | (seg[order][1:] != seg[order][:-1]))
-        begins, use = np.flatnonzero(new), order[new]
-        texts = table.column(6).take(pa.array(use)).to_pylist()
-        found = solve(texts, starts[use], np.add.reduceat(n[order], begins), np.minimum.reduceat(least[order], begins))
-        keep = [i for i, f in enumerate(found) if len(f)]
-        yield pa.record_batch([pa.array(key[use][keep]), pa.array(seg[use][keep]), pa.array([found[i] for i in keep], kind)],
-                              ["key", "seg", "flags"])
-
     def run(batches):
-        held, size, last = [], 0, None
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), batch.num_rows]
-            at, sizes = 0, text_bytes(batch.column(6))[1]
-            for c in cuts[:-1]:
-                if (c or (last is not None and keys[0] != last)) and size + int(sizes[c] - sizes[at]) >= most_bytes:
-                    if c > at:
-                        held.append(batch.slice(at, c - at))
-                    if held:
-                        yield from chunk(held)
-                    held, size, at = [], 0, c
-            if at < batch.num_rows:
-                held.append(batch.slice(at))
-                size += int(sizes[-1] - sizes[at])
-            last = keys[-1]
-        if held:
-            yield from chunk(held)
-    return (segs.repartition(parts, "key").sortWithinPartitions("key")
-            .mapInArrow(run, f"key bigint, seg bigint, flags {flags}"))
+        for (key, seg, starts, n, least), texts in _gathered(batches, SEGMENT):
+            order = np.lexsort((least, seg, key))      # tasks sent equal segments: one each
+            new = np.append(True, (key[order][1:] != key[order][:-1]) | (seg[order][1:] != seg[order][:-1]))
+            begins, use = np.flatnonzero(new), order[new]
+            n, least = np.add.reduceat(n[order], begins), np.minimum.reduceat(least[order], begins)
+            key, seg, starts = key[use], seg[use], starts[use].astype(np.int64)
+            sizes = np.cumsum([len(texts[i]) for i in use])
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))      # of each key
+            before = np.append(0, sizes)[first]
+            a = 0
+            while a < len(use):
+                k = int(np.searchsorted(before, (sizes[a - 1] if a else 0) + most_bytes))
+                b = int(first[k]) if k < len(first) else len(use)
+                b = b if b > a else int(np.append(first, len(use))[np.searchsorted(first, a, "right")])
+                found = solve([texts[i] for i in use[a:b]], starts[a:b], n[a:b], least[a:b])
+                keep = [i for i, f in enumerate(found) if len(f)]
+                yield pa.record_batch([pa.array(key[a:b][keep]), pa.array(seg[a:b][keep]),
+                                       pa.array([found[i] for i in keep], kind)], ["key", "seg", "flags"])
+                a = b
+    return segs.repartitionById(parts, F.col("part")).mapInArrow(run, "key bigint, seg bigint, flags array<bigint>")
 
 
 def with_flags(docs: DataFrame, kind: Kind, solve: Solve, across: bool, wanted=None, most_bytes: int = 2 << 20) -> DataFrame:
@@ -259,15 +302,16 @@ def with_flags(docs: DataFrame, kind: Kind, solve: Solve, across: bool, wanted=N
 
     ``wanted``, a condition on ``flags`` and ``did``, drops flags that decide nothing for a
     document. Both joins read one shuffle of the texts."""
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // PART_BYTES))
+    parts = parts_for(docs, PART_BYTES)
     heavy = heavy_runs(docs, kind)
-    joined = docs.join(shared_anchors(docs, kind, heavy, across, parts), ["did", "tid"])
-    flagged = solved(segments(joined, kind, heavy), solve, "array<bigint>", parts, most_bytes)
+    # merge joins at every size: both sides grow with the corpus
+    joined = docs.join(shared_anchors(docs, kind, heavy, across, parts).hint("merge"), ["did", "tid"])
+    flagged = solved(segments(joined, kind, heavy, parts), solve, parts, most_bytes)
     found = occurrences(joined, kind, heavy).join(flagged, ["key", "seg"])
     if wanted is not None:
         found = found.where(wanted)
     found = found.groupBy("did", "tid").agg(F.collect_list(F.struct("lo", "flags")).alias("found"))
-    return docs.join(found, ["did", "tid"], "left")
+    return docs.join(found.hint("merge"), ["did", "tid"], "left")
 
 
 def known_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
