@@ -35,7 +35,7 @@ def size_of(text: Column | str) -> Column:
 
 def hash_of(doc_id: Column | str) -> Column:
     """The first 60 bits of the id's MD5: the same on every run and in any engine."""
-    key = F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string")
+    key = F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 

@@ -252,7 +252,7 @@ def one_of_each(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame:
     one row."""
     found = near_duplicates(docs, width, most)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return (docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+    return (docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
             .dropDuplicates(["doc_id", "text"]))
 
 
