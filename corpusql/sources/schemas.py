@@ -43,27 +43,3 @@ PREDICTION = T.StructType([
     T.StructField("generation_time_s", T.DoubleType()),
     T.StructField("db_found", T.BooleanType()),
 ])
-
-RESPONSE = T.StructType([
-    T.StructField("mode", T.StringType()),
-    T.StructField("index", T.LongType()),
-    T.StructField("response", T.StringType()),
-    T.StructField("generation_time_s", T.DoubleType()),
-])
-
-TOKEN_FEATURES = T.StructType([
-    T.StructField("pos", T.LongType()),
-    T.StructField("input_ids", T.ArrayType(T.IntegerType())),
-    T.StructField("attention_mask", T.ArrayType(T.IntegerType())),
-    T.StructField("labels", T.ArrayType(T.IntegerType())),
-])
-
-# Failure categories of the error analysis (fixed names).
-ERROR_CATEGORIES = (
-    "wrong_join",
-    "wrong_aggregation",
-    "schema_misunderstanding",
-    "invalid_sql",
-    "false_negative_exact_match",
-    "other",
-)
