@@ -40,6 +40,9 @@ SHARED_FEW_SHOT_HEADER = (
     "Given the following database schema, write a SQL query that answers the "
     "question. Here are some examples:\n"
 )
+# Parts of a few-shot text, around number, schema, question and SQL:
+EXAMPLE_MARK, TURN_MARK = "### Example ", "### Your Turn"
+SCHEMA_MARK, QUESTION_MARK, SQL_MARK = "Schema:\n", "\n\nQuestion: ", "\n\nSQL:"
 # ---------------------------------------------------------------------------
 
 
@@ -77,16 +80,14 @@ def few_shot_prompt(schema, question, examples) -> Column:
     blocks = F.transform(
         _c(examples),
         lambda ex, i: F.concat(
-            F.lit("\n### Example "), (i + 1).cast("string"),
-            F.lit("\nSchema:\n"), ex["schema"],
-            F.lit("\n\nQuestion: "), ex["question"],
-            F.lit("\n\nSQL: "), ex["output"], F.lit("\n"),
+            F.lit("\n" + EXAMPLE_MARK), (i + 1).cast("string"),
+            F.lit("\n" + SCHEMA_MARK), ex["schema"],
+            F.lit(QUESTION_MARK), ex["question"],
+            F.lit(SQL_MARK + " "), ex["output"], F.lit("\n"),
         ),
     )
-    tail = F.concat(
-        F.lit("\n### Your Turn\nSchema:\n"), _c(schema),
-        F.lit("\n\nQuestion: "), _c(question), F.lit("\n\nSQL:"),
-    )
+    tail = F.concat(F.lit("\n" + TURN_MARK + "\n" + SCHEMA_MARK), _c(schema),
+                    F.lit(QUESTION_MARK), _c(question), F.lit(SQL_MARK))
     return F.array_join(F.concat(F.array(F.lit(FEW_SHOT_HEADER)), blocks, F.array(tail)), "\n")
 
 
@@ -95,16 +96,14 @@ def shared_few_shot_prompt(schema, question, examples) -> Column:
     blocks = F.transform(
         _c(examples),
         lambda ex, i: F.concat(
-            F.lit("### Example "), (i + 1).cast("string"),
-            F.lit("\n\nSchema:\n"), ex["schema"],
-            F.lit("\n\nQuestion: "), ex["question"],
-            F.lit("\n\nSQL: "), ex["sql"], F.lit("\n"),
+            F.lit(EXAMPLE_MARK), (i + 1).cast("string"),
+            F.lit("\n\n" + SCHEMA_MARK), ex["schema"],
+            F.lit(QUESTION_MARK), ex["question"],
+            F.lit(SQL_MARK + " "), ex["sql"], F.lit("\n"),
         ),
     )
-    tail = F.concat(
-        F.lit("### Your Turn\n\nSchema:\n"), _c(schema),
-        F.lit("\n\nQuestion: "), _c(question), F.lit("\n\nSQL:"),
-    )
+    tail = F.concat(F.lit(TURN_MARK + "\n\n" + SCHEMA_MARK), _c(schema),
+                    F.lit(QUESTION_MARK), _c(question), F.lit(SQL_MARK))
     return F.array_join(F.concat(F.array(F.lit(SHARED_FEW_SHOT_HEADER)), blocks, F.array(tail)), "\n")
 
 

@@ -21,6 +21,11 @@ SET_OP_WORDS = ("INTERSECT", "UNION", "EXCEPT")
 # Bucket names of the corpus-level feature distribution (no SUBQUERY bucket):
 DISTRIBUTION_FEATURES = ("JOIN", "Aggregation", "GROUP BY", "HAVING", "ORDER BY",
                          "Nested/Subquery", "Set Operations", "LIKE")
+# Names of the per-example flags, in output order:
+FLAG_NAMES = ("JOINS", "SUBQUERY", "AGGREGATION", "GROUP BY", "HAVING", "ORDER BY", "SET OPS", "LIKE", "NESTED")
+# A fenced block (only the tag "sql" is part of the fence) and a leading statement:
+FENCE_PATTERN = r"(?isU)```(?:sql)?\s*\n?(.*?)```"
+LEADING_PATTERN = r"(?s)^(.*?)(?:;|\n\n|$)"
 # ---------------------------------------------------------------------------
 
 # Tokenizer for normalization: quoted text of three kinds, both comment kinds,
@@ -30,7 +35,6 @@ SQL_TOKEN_PATTERN = (
 )
 
 _KW_ALT = "|".join(SQL_START_KEYWORDS)
-_FENCE = r"(?isU)```(?:sql)?\s*\n?(.*?)```"
 
 
 def starts_with_sql_keyword(c) -> Column:
@@ -46,13 +50,13 @@ def extract_sql(response) -> Column:
     4 otherwise the whole (stripped) text
     """
     r = py_strip(response)
-    fenced = py_strip(F.regexp_extract(r, _FENCE, 1))
-    leading = py_strip(F.regexp_extract(r, r"(?s)^(.*?)(?:;|\n\n|$)", 1))
+    fenced = py_strip(F.regexp_extract(r, FENCE_PATTERN, 1))
+    leading = py_strip(F.regexp_extract(r, LEADING_PATTERN, 1))
     lines = F.transform(F.split(r, "\n"), lambda ln: py_strip(ln))
     sql_lines = F.filter(lines, lambda ln: starts_with_sql_keyword(ln))
     first_line = py_strip(F.regexp_replace(F.element_at(sql_lines, 1), ";+$", ""))
     return (
-        F.when(r.rlike(_FENCE), F.struct(fenced.alias("sql"), F.lit("fenced_block").alias("strategy")))
+        F.when(r.rlike(FENCE_PATTERN), F.struct(fenced.alias("sql"), F.lit("fenced_block").alias("strategy")))
         .when(starts_with_sql_keyword(r),
               F.struct(leading.alias("sql"), F.lit("leading_keyword").alias("strategy")))
         .when(F.size(sql_lines) > 0,
@@ -95,18 +99,10 @@ def feature_flags(sql) -> Column:
             cond = cond | q.contains(w)
         return cond
 
-    flags = [
-        ("JOINS", q.contains("JOIN")),
-        ("SUBQUERY", q.rlike(r"(?s)FROM.*SELECT")),
-        ("AGGREGATION", has_any(AGGREGATE_CALLS)),
-        ("GROUP BY", q.contains("GROUP BY")),
-        ("HAVING", q.contains("HAVING")),
-        ("ORDER BY", q.contains("ORDER BY")),
-        ("SET OPS", has_any(SET_OP_WORDS)),
-        ("LIKE", q.contains("LIKE")),
-        ("NESTED", q.rlike(r"(?s)SELECT.*SELECT")),
-    ]
-    arr = F.array(*[F.when(cond, F.lit(name)) for name, cond in flags])
+    conditions = (q.contains("JOIN"), q.rlike(r"(?s)FROM.*SELECT"), has_any(AGGREGATE_CALLS), q.contains("GROUP BY"),
+                  q.contains("HAVING"), q.contains("ORDER BY"), has_any(SET_OP_WORDS), q.contains("LIKE"),
+                  q.rlike(r"(?s)SELECT.*SELECT"))
+    arr = F.array(*[F.when(cond, F.lit(name)) for name, cond in zip(FLAG_NAMES, conditions)])
     return F.filter(arr, lambda x: x.isNotNull())
 
 

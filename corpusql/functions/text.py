@@ -22,11 +22,6 @@ def py_strip(c) -> Column:
     return F.regexp_replace(_c(c), rf"(?U)^{WS}+|{WS}+$", "")
 
 
-def py_rstrip_chars(c, chars: str) -> Column:
-    """``str.rstrip(chars)`` for a set of literal characters."""
-    cls = "".join("\\" + ch if ch in r"\^-]" else ch for ch in chars)
-    return F.regexp_replace(_c(c), f"[{cls}]+$", "")
-
 
 def collapse_ws(c) -> Column:
     """``re.sub(r"\\s+", " ", s)`` on ``str``."""

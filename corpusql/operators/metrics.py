@@ -37,7 +37,8 @@ def prediction_records(examples: DataFrame, responses: DataFrame, verdicts: Data
         F.coalesce("db_found", F.lit(True)).alias("db_found"))
 
 
-def _counts(pred: DataFrame, group):
+def verdict_counts(pred: DataFrame, group: list[str]) -> DataFrame:
+    """Counts that every accuracy table is made of."""
     err = F.col("pred_error").isNotNull() & F.col("db_found")
     return pred.groupBy(*group).agg(
         F.count(F.lit(1)).alias("total_examples"),
@@ -54,7 +55,7 @@ def eval_metrics(predictions: DataFrame) -> DataFrame:
     Ratios are unrounded (round only for display); the generation-time sum is
     exact decimal so the average does not depend on row order. total = 0 -> NULL.
     """
-    c = _counts(predictions, ["mode"])
+    c = verdict_counts(predictions, ["mode"])
     tot = F.col("total_examples")
 
     def pct(col):
@@ -76,7 +77,7 @@ def running_metrics(predictions: DataFrame, every: int = 50) -> DataFrame:
     Rows are pre-aggregated per (mode, index div every); the running window then
     spans one row per bucket, not one per example.
     """
-    b = _counts(predictions.withColumn("_b", F.floor(F.col("index") / every).cast("bigint")), ["mode", "_b"])
+    b = verdict_counts(predictions.withColumn("_b", F.floor(F.col("index") / every).cast("bigint")), ["mode", "_b"])
     w = Window.partitionBy("mode").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = b.select(
         "mode", "_b", "total_examples",
@@ -86,7 +87,7 @@ def running_metrics(predictions: DataFrame, every: int = 50) -> DataFrame:
     buckets = (cum.where(F.col("total_examples") == every)
                .select("mode", "n_seen", "exact_match_count", "execution_match_count",
                        "execution_error_count"))
-    first = (_counts(predictions.where(F.col("index") == 0), ["mode"])
+    first = (verdict_counts(predictions.where(F.col("index") == 0), ["mode"])
              .select("mode", F.col("total_examples").alias("n_seen"), "exact_match_count",
                      "execution_match_count", "execution_error_count"))
     allr = buckets.unionByName(first).dropDuplicates(["mode", "n_seen"])
@@ -112,7 +113,7 @@ def mode_comparison(metrics: DataFrame, one: str = "zero-shot", other: str = "fe
 def model_comparison(predictions: DataFrame, model_col: str = "model") -> DataFrame:
     """Model x metric table: one row per model and mode with both accuracies."""
     tot = F.col("total_examples")
-    return _counts(predictions, [model_col, "mode"]).select(
+    return verdict_counts(predictions, [model_col, "mode"]).select(
         model_col, "mode",
         (F.col("exact_match_count").cast("double") * 100.0 / tot).alias("exact_match_accuracy"),
         (F.col("execution_match_count").cast("double") * 100.0 / tot).alias("execution_accuracy"))

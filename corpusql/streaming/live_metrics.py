@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpusql.operators.metrics import verdict_counts
 from corpusql.session import scratch_path
 from corpusql.sources import schemas
 
@@ -27,12 +28,7 @@ def prediction_stream(spark: SparkSession, path: str, fmt: str = "parquet",
 
 def live_counts(predictions: DataFrame) -> DataFrame:
     """Streaming per-mode counts (state: one row per mode)."""
-    err = F.col("pred_error").isNotNull() & F.col("db_found")
-    return predictions.groupBy("mode").agg(
-        F.count(F.lit(1)).alias("total_examples"),
-        F.count(F.when(F.col("exact_match"), 1)).alias("exact_match_count"),
-        F.count(F.when(F.col("exec_match"), 1)).alias("execution_match_count"),
-        F.count(F.when(err, 1)).alias("execution_error_count"))
+    return verdict_counts(predictions, ["mode"]).drop("_gen_sum")
 
 
 def with_ratios(counts: DataFrame) -> DataFrame:

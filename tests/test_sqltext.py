@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from corpusql.functions import sqltext
 
 # Ten stored baseline predictions (gold, predicted) and their exact-match verdicts.
+# Stored records of one evaluation run.
 GOLDEN = [
     ("SELECT count(*) FROM singer", "SELECT COUNT(*) FROM singer", True),
     ("SELECT count(*) FROM singer", "SELECT COUNT(*) FROM singer", True),
