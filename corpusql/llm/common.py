@@ -7,6 +7,7 @@ single document longer than a piece is a piece of its own.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusql.session import shared_root
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -154,10 +155,29 @@ def least_of_runs(values: np.ndarray, width: int) -> np.ndarray:
     return best
 
 
+def release_memory() -> None:
+    """Returns freed memory to the system; ``malloc_trim`` is glibc's way to."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` that gives a task's memory back when it ends: idle Python workers are kept for
+    later tasks, and several of them share an executor's memory."""
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+    return task
+
+
 def by_batch(make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
     """A ``mapInArrow`` function from one that takes a single batch."""
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 yield from make(batch)
-    return run
+    return lean(run)

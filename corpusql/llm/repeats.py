@@ -28,12 +28,14 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusql.llm.common import by_batch, least_of_runs, mixed, parts_for, pieces, span_hashes, window_hashes, words
+from corpusql.llm.common import by_batch, lean, least_of_runs, mixed, parts_for, pieces, span_hashes, window_hashes, words
 
-HEAVY = 1 << 14
+HEAVY = 1 << 17
 LEAST_HEAVY = 64
+LEAST_IN_PIECE = 4
 NO_ID = (1 << 63) - 1
-PART_BYTES = 32 << 20
+PART_BYTES = 8 << 20
+HELD_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -143,22 +145,23 @@ def _gathered(batches, dtypes):
 
 
 def heavy_runs(docs: DataFrame, kind: Kind) -> np.ndarray:
-    """Sorted hashes of the anchors that make up at least one of ``HEAVY`` of all. Such a
-    hash has that share in some task, so tasks report no others, and exact sums of
-    the reported counts find all of them."""
-    none = np.zeros(0, np.uint64)
-
+    """Sorted hashes of the runs that make up at least one of ``HEAVY`` of all runs of the
+    corpus. Such a run has that share in some piece, and pieces report no others. Which runs are
+    heavy only decides how work is spread, never a result."""
     def count(batches):
-        found = [none]
+        total, found = 0, {}
         for batch in batches:
             for _, _, data, at in pieces(batch.column(0)):
-                values, first, _, _ = kind.units(data, at)
-                found.append(anchors(kind, values, first, none).key)
-        keys, counts = np.unique(np.concatenate(found), return_counts=True)
-        many = counts >= max(2, counts.sum() / HEAVY)
-        yield pa.record_batch([_long(keys[many]), pa.array(counts[many])], ["key", "n"])
-        yield pa.record_batch([pa.array([None], pa.int64()), pa.array([int(counts.sum())])], ["key", "n"])
-    sums = docs.select("text").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+                values, _, _, _ = kind.units(data, at)
+                keys, counts = np.unique(window_hashes(values, kind.k), return_counts=True)
+                total += len(values)
+                many = counts >= max(LEAST_IN_PIECE, len(values) / HEAVY)
+                for k, c in zip(keys[many].tolist(), counts[many].tolist()):
+                    found[k] = found.get(k, 0) + c
+        keys = [k for k, c in found.items() if c >= total / HEAVY]
+        yield pa.record_batch([_long(np.array(keys, np.uint64)), pa.array([found[k] for k in keys], pa.int64())], ["key", "n"])
+        yield pa.record_batch([pa.array([None], pa.int64()), pa.array([total])], ["key", "n"])
+    sums = docs.select("text").mapInArrow(lean(count), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     sums = sums.where(F.col("key").isNull() | (F.col("n") >= LEAST_HEAVY)).orderBy(F.col("key").isNotNull(), F.desc("n"), "key").limit(HEAVY + 1)
     rows = sums.collect()
     total = sum(r["n"] for r in rows if r["key"] is None)
@@ -166,9 +169,18 @@ def heavy_runs(docs: DataFrame, kind: Kind) -> np.ndarray:
     return np.sort(np.array(keys, np.int64).view(np.uint64))
 
 
+def _once(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first anchor of every document and hash, whether there are more)."""
+    order = np.lexsort((key, doc))
+    new = np.append(True, (doc[order][1:] != doc[order][:-1]) | (key[order][1:] != key[order][:-1]))[:len(order)]
+    begins = np.flatnonzero(new)
+    return order[begins], np.diff(np.append(begins, len(order))) > 1
+
+
 def shared_anchors(docs: DataFrame, kind: Kind, heavy: np.ndarray, across: bool, parts: int) -> DataFrame:
-    """``(did, tid, picks)``: per document the anchors whose hash occurs again (``across``:
-    in another document)."""
+    """``(did, tid, picks)``: per document, one anchor of each hash that occurs again (``across``:
+    in another document). A hash travels once per document, however often a document
+    has it, as it does in periodic text; ``nth`` is then negative."""
     def emit(batches):
         rare, heavies = [], []
         for batch in batches:
@@ -176,9 +188,11 @@ def shared_anchors(docs: DataFrame, kind: Kind, heavy: np.ndarray, across: bool,
             for i, j, data, at in pieces(batch.column(2)):
                 values, first, _, _ = kind.units(data, at)
                 a = anchors(kind, values, first, heavy)
-                row = [a.key.view(np.int64), did[i:j][a.doc], tid[i:j][a.doc], a.nth.astype(np.int32)]
-                rare.append([x[~a.heavy] for x in row])
-                heavies.append([x[a.heavy] for x in row])
+                use, more = _once(a.doc, a.key)
+                nth = np.where(more, -1 - a.nth[use], a.nth[use]).astype(np.int32)
+                row = [a.key[use].view(np.int64), did[i:j][a.doc[use]], tid[i:j][a.doc[use]], nth]
+                rare.append([x[~a.heavy[use]] for x in row])
+                heavies.append([x[a.heavy[use]] for x in row])
         yield from _dealt(rare, None, parts)
         yield from _dealt(heavies, None, parts, apart=True)
 
@@ -191,19 +205,19 @@ def shared_anchors(docs: DataFrame, kind: Kind, heavy: np.ndarray, across: bool,
             if across:
                 many = np.minimum.reduceat(did[order], begins) < np.maximum.reduceat(did[order], begins)
             else:
-                many = np.diff(np.append(begins, len(key))) > 1
+                many = (np.diff(np.append(begins, len(key))) > 1) | (np.minimum.reduceat(nth[order], begins) < 0)
             use = np.sort(order[many[np.cumsum(new) - 1]])
-            yield pa.record_batch([pa.array(x[use]) for x in (did, tid, nth)], ["did", "tid", "nth"])
+            yield pa.record_batch([pa.array(x[use]) for x in (did, tid, np.where(nth < 0, -1 - nth, nth))], ["did", "tid", "nth"])
 
     def open_(batches):
         for batch in batches:
             for blob in batch.column(1):
                 _, did, tid, nth = _thaw(blob.as_py(), DTYPES)[0]
-                yield pa.record_batch([pa.array(x) for x in (did, tid, nth)], ["did", "tid", "nth"])
-    every = docs.select("did", "tid", "text").mapInArrow(emit, PACKED)
+                yield pa.record_batch([pa.array(x) for x in (did, tid, np.where(nth < 0, -1 - nth, nth))], ["did", "tid", "nth"])
+    every = docs.select("did", "tid", "text").mapInArrow(lean(emit), PACKED)
     schema = "did bigint, tid bigint, nth int"
-    found = every.where("part >= 0").repartitionById(parts, F.col("part")).mapInArrow(again, schema)
-    found = found.unionByName(every.where("part < 0").mapInArrow(open_, schema))
+    found = every.where("part >= 0").repartitionById(parts, F.col("part")).mapInArrow(lean(again), schema)
+    found = found.unionByName(every.where("part < 0").mapInArrow(lean(open_), schema))
     return found.groupBy("did", "tid").agg(F.collect_list("nth").alias("picks"))
 
 
@@ -220,7 +234,9 @@ def _picked(kind: Kind, heavy: np.ndarray, batch: pa.RecordBatch):
         sizes = np.bincount(a.doc, minlength=j - i)
         base = np.cumsum(sizes) - sizes
         doc = np.repeat(np.arange(j - i), some.value_lengths().fill_null(0).to_numpy())
-        use = np.unique(base[doc] + some.flatten().to_numpy())
+        # a pick stands for all anchors of its hash in its document
+        pair = mixed(a.key + a.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        use = np.flatnonzero(np.isin(pair, pair[base[doc] + some.flatten().to_numpy()]))
         a = Anchors(*(x[use] for x in (a.doc, a.nth, a.lo, a.hi, a.key, a.heavy)))
         # a segment is known by its text and how many window starts it has
         seg = mixed(span_hashes(values, a.lo, a.hi + kind.length) + (a.hi - a.lo).astype(np.uint64))
@@ -228,32 +244,33 @@ def _picked(kind: Kind, heavy: np.ndarray, batch: pa.RecordBatch):
 
 
 def segments(joined: DataFrame, kind: Kind, heavy: np.ndarray, parts: int) -> DataFrame:
-    """Packed ``(key, seg, starts, n, least, text)``: different segments, once per task, with the
-    number of their occurrences and the least ``did``."""
+    """Packed ``(key, seg, starts, n, least, text)``: different segments with the number of their
+    occurrences and the least ``did``. A task sends a segment's text once and an empty one after."""
     def run(batches):
-        known: dict[tuple[int, int], int] = {}
-        text, names, rows = [], [], []
+        sent: set[int] = set()
+        rows, texts, size = [], [], 0
         for batch in batches:
             did = batch.column(batch.schema.get_field_index("did")).to_numpy()
             for i, j, data, starts, ends, first, a, seg in _picked(kind, heavy, batch):
-                own = did[i:j][a.doc].tolist()
+                name = mixed(a.key ^ mixed(seg))
+                order = np.argsort(name, kind="stable")
+                new = np.append(True, name[order][1:] != name[order][:-1])[:len(order)]
+                begins = np.flatnonzero(new)
+                if not len(begins):
+                    continue
+                use = order[begins]
+                rows.append([a.key[use].view(np.int64), seg[use].view(np.int64), (a.hi - a.lo + 1)[use].astype(np.int32),
+                             np.diff(np.append(begins, len(order))), np.minimum.reduceat(did[i:j][a.doc][order], begins)])
                 raw = data.tobytes()
-                begin, end = starts[a.lo].tolist(), ends[a.hi + kind.length - 1].tolist()
-                size = (a.hi - a.lo + 1).tolist()
-                for r, name in enumerate(zip(a.key.view(np.int64).tolist(), seg.view(np.int64).tolist())):
-                    at = known.get(name)
-                    if at is None:
-                        known[name] = len(rows)
-                        names.append(name)
-                        rows.append([size[r], 1, own[r]])
-                        text.append(raw[begin[r]:end[r]])
-                    else:
-                        rows[at][1] += 1
-                        rows[at][2] = min(rows[at][2], own[r])
-        if rows:
-            name, row = np.array(names, np.int64), np.array(rows, np.int64)
-            yield from _dealt([[name[:, 0], name[:, 1], row[:, 0].astype(np.int32), row[:, 1], row[:, 2]]], text, parts)
-    return joined.mapInArrow(run, PACKED)
+                for x, b, e in zip(name[use].tolist(), starts[a.lo[use]].tolist(), ends[a.hi[use] + kind.length - 1].tolist()):
+                    texts.append(b"" if x in sent else raw[b:e])
+                    sent.add(x)
+                    size += len(texts[-1])
+                if size >= HELD_BYTES:
+                    yield from _dealt(rows, texts, parts)
+                    rows, texts, size = [], [], 0
+        yield from _dealt(rows, texts, parts)
+    return joined.mapInArrow(lean(run), PACKED)
 
 
 def occurrences(joined: DataFrame, kind: Kind, heavy: np.ndarray) -> DataFrame:
@@ -276,7 +293,8 @@ def solved(segs: DataFrame, solve: Solve, parts: int, most_bytes: int) -> DataFr
 
     def run(batches):
         for (key, seg, starts, n, least), texts in _gathered(batches, SEGMENT):
-            order = np.lexsort((least, seg, key))      # tasks sent equal segments: one each
+            empty = np.array([not t for t in texts])
+            order = np.lexsort((empty, seg, key))      # of equal segments one, with its text
             new = np.append(True, (key[order][1:] != key[order][:-1]) | (seg[order][1:] != seg[order][:-1]))
             begins, use = np.flatnonzero(new), order[new]
             n, least = np.add.reduceat(n[order], begins), np.minimum.reduceat(least[order], begins)
@@ -294,7 +312,7 @@ def solved(segs: DataFrame, solve: Solve, parts: int, most_bytes: int) -> DataFr
                 yield pa.record_batch([pa.array(key[a:b][keep]), pa.array(seg[a:b][keep]),
                                        pa.array([found[i] for i in keep], kind)], ["key", "seg", "flags"])
                 a = b
-    return segs.repartitionById(parts, F.col("part")).mapInArrow(run, "key bigint, seg bigint, flags array<bigint>")
+    return segs.repartitionById(parts, F.col("part")).mapInArrow(lean(run), "key bigint, seg bigint, flags array<bigint>")
 
 
 def with_flags(docs: DataFrame, kind: Kind, solve: Solve, across: bool, wanted=None, most_bytes: int = 2 << 20) -> DataFrame:
