@@ -33,7 +33,7 @@ from corpusql.llm.repeats import NO_ID, Kind, known_documents, with_flags
 
 LENGTH = 400
 ANCHOR = 64
-BLOCK = 50
+BLOCK = 100
 SHARD_BYTES = 256 << 10
 TASK_BYTES = 1 << 20
 
