@@ -13,14 +13,14 @@ are grouped and folded with Spark's higher-order ``aggregate``:
   if both its ends are still borders and one border lies between them, which then
   falls. Merges only ever lead to later ones, so one fold in that order is BPE.
 
-Words up to ``LONGEST`` characters are folded by Spark. The rare longer ones, for which a
-fold of arrays would be quadratic, and words with pieces of equal score (runs of
-spaces) are merged with a heap. Characters
+Words up to ``LONGEST`` characters are folded by Spark. The rare longer ones, words with
+pieces of equal score (runs of spaces), and words without any piece are encoded one by one. Characters
 without a piece are their UTF-8 bytes' pieces.
 
-Documents meet the dictionary in blocks of about ``BLOCK_BYTES``: a block asks for its
-different words, and is encoded where block and words meet. Neither the dictionary nor a
-hot word is ever gathered in one place.
+Documents are taken in blocks of about ``BLOCK_BYTES``. A block's different words and its
+compressed texts are shuffled to the same task, which builds the lattices of the words,
+folds them, and encodes the texts. So no dictionary of all words is ever gathered,
+a word is folded once a block however often it occurs, and a hot word is no hot task.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; white
 space and unknown characters survive the round trip (U+2581 decodes to a space, as in
@@ -42,12 +42,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusql.llm.common import by_batch
+from corpusql.llm.common import by_batch, lean, parts_for
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONGEST = 60
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 UNIGRAM, BPE = 1, 2
 
 
@@ -213,88 +213,90 @@ def encode_word(word: str, model: Model) -> list[int]:
 
 
 # --- the lattice ------------------------------------------------------------------------
+# An edge is one number: order of its score << 40 | start << 32 | end << 24 | id.
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    rows = [(p, i, float(s)) for p, (i, s) in model.table.items()]
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+    """``(piece, id, score, nth)``: nth is the place of the score among all, best first."""
+    nth = {s: k for k, s in enumerate(sorted({s for _, s in model.table.values()}, reverse=True))}
+    rows = [(p, i, float(s), nth[s]) for p, (i, s) in model.table.items()]
+    return spark.createDataFrame(rows, "piece string, id bigint, score double, nth bigint")
 
 
-def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """``(word, edges)``: per word its array of ``(start, end, id, score)``. Words are hash
-    partitioned already, so grouping their edges needs no shuffle."""
-    spark = words.sparkSession
+def lattice(words: DataFrame, model: Model, by: list[str]) -> DataFrame:
+    """``(*by, edges)``: the edges of every word, ``by`` being the columns that name it. Where
+    ``words`` is partitioned by some of them, grouping needs no shuffle."""
     spans = F.expr(f"""flatten(transform(sequence(1, length(word)), i ->
         transform(sequence(1, least({model.longest}, length(word) - i + 1)), n ->
-            named_struct('start', i - 1, 'end', i - 1 + n, 'piece', substring(word, i, n)))))""")
-    found = (words.select("word", F.explode(spans).alias("s")).select("word", "s.*")
-             .join(F.broadcast(piece_table(spark, model)), "piece"))
-    return found.groupBy("word").agg(F.collect_list(F.struct("start", "end", "id", "score")).alias("edges"))
+            named_struct('span', cast((i - 1) * 256 + i - 1 + n as bigint), 'piece', substring(word, i, n)))))""")
+    found = (words.select(*by, F.explode(spans).alias("s")).select(*by, "s.*")
+             .join(F.broadcast(piece_table(words.sparkSession, model)), "piece"))
+    code = F.shiftleft("nth", 40).bitwiseOR(F.shiftleft("span", 24)).bitwiseOR(F.col("id")).alias("code")
+    return found.groupBy(*by).agg(F.collect_list(code if model.kind == BPE else F.struct(code, "score")).alias("edges"))
 
 
-def merge_fold(word: Column, edges: str) -> Column:
-    """Borders of a BPE segmentation as bits of a long."""
-    order = F.array_sort(F.transform(F.filter(edges, lambda e: e["end"] - e["start"] > 1),
-                                     lambda e: F.struct((-e["score"]).alias("rank"), e["start"].alias("start"), e["end"].alias("end"))))
-    one = F.lit(1).cast("bigint")
+def _start(code: Column) -> Column:
+    return F.shiftright(code, 32).bitwiseAND(F.lit(255)).cast("int")
+
+
+def _end(code: Column) -> Column:
+    return F.shiftright(code, 24).bitwiseAND(F.lit(255)).cast("int")
+
+
+def _bit(n) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), n)
 
-    def bit(n):
-        return F.call_function("shiftleft", one, n)
 
-    def step(borders, e):
-        ends = bit(e["start"]).bitwiseOR(bit(e["end"]))
-        inside = borders.bitwiseAND(bit(e["end"]) - bit(e["start"] + 1))
-        taken = (borders.bitwiseAND(ends) == ends) & (F.bit_count(inside) == 1)
+def merge_fold(word: Column, edges: str) -> Column:
+    """Borders of a BPE segmentation as bits of a long."""
+    def step(borders, code):
+        start, end = _start(code), _end(code)
+        ends = _bit(start).bitwiseOR(_bit(end))
+        inside = borders.bitwiseAND(_bit(end) - _bit(start + 1))
+        taken = (end - start > 1) & (borders.bitwiseAND(ends) == ends) & (F.bit_count(inside) == 1)
         return F.when(taken, borders.bitwiseXOR(inside)).otherwise(borders)
-    return F.aggregate(order, bit(F.length(word) + 1) - F.lit(1), step)
+    return F.aggregate(F.array_sort(edges), _bit(F.length(word) + 1) - F.lit(1), step)
 
 
 def viterbi_fold(word: Column, edges: str, unknown: float) -> Column:
     """Borders of the best path: per end position the best score and its path's bits."""
-    one = F.lit(1).cast("bigint")
-    state = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("last"), one.alias("borders")))
+    state = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("last"), F.lit(1).cast("bigint").alias("borders")))
 
     def step(best, j):
-        here = F.filter(edges, lambda e: e["end"] == j)
+        here = F.transform(F.filter(edges, lambda e: _end(e["code"]) == j),
+                           lambda e: F.struct(_start(e["code"]).alias("start"), e["score"].alias("score")))
         single = F.when(F.exists(here, lambda e: e["start"] == j - 1), F.array().cast("array<struct<start:int,score:double>>")).otherwise(
             F.array(F.struct((j - 1).alias("start"), F.lit(unknown).alias("score"))))
-        options = F.concat(F.transform(here, lambda e: F.struct(e["start"].alias("start"), e["score"].alias("score"))), single)
-        paths = F.transform(options, lambda o: F.struct(
+        paths = F.transform(F.concat(here, single), lambda o: F.struct(
             (F.element_at(best, o["start"] + 1)["score"] + o["score"]).alias("score"), (-o["start"]).alias("last"),
-            F.element_at(best, o["start"] + 1)["borders"].bitwiseOR(F.call_function("shiftleft", one, j)).alias("borders")))
+            F.element_at(best, o["start"] + 1)["borders"].bitwiseOR(_bit(j)).alias("borders")))
         return F.concat(best, F.array(F.array_max(paths)))
     return F.aggregate(F.sequence(F.lit(1), F.length(word)), state, step, lambda s: F.element_at(s, -1)["borders"])
 
 
-def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """``(word, ids)`` of different words."""
-    alone = F.length("word") > LONGEST
+def fold_words(words: DataFrame, model: Model, by: list[str]) -> DataFrame:
+    """``(*by, ids)`` of the words that the lattice is for: up to ``LONGEST`` characters, no
+    pieces of equal score, and at least one piece. ``encode_word`` is for the others."""
+    fit = F.length("word") <= LONGEST
     for piece in model.tied:
-        alone = alone | F.col("word").contains(piece)
-    short = words.where(~alone)
-    fold = merge_fold(F.col("word"), "edges") if model.kind == BPE else viterbi_fold(F.col("word"), "edges", model.unknown)
-    bounded = lattice(short, model)
-    # a word without any edge has only unknown characters
-    bounded = short.join(bounded, "word", "left").withColumn("edges", F.coalesce("edges", F.array().cast(bounded.schema["edges"].dataType)))
-    cut = bounded.withColumn("borders", fold).withColumn("cuts", F.filter(
-        F.sequence(F.lit(0), F.length("word")),
-        lambda i: F.call_function("getbit", F.col("borders"), i) == 1))
+        fit = fit & ~F.col("word").contains(piece)
+    found = lattice(words.where(fit), model, by)
+    if model.kind == BPE:
+        fold, code_of = merge_fold(F.col("word"), "edges"), lambda e: e
+    else:
+        fold, code_of = viterbi_fold(F.col("word"), "edges", model.unknown), lambda e: e["code"]
+    cut = found.withColumn("borders", fold).withColumn("cuts", F.filter(
+        F.sequence(F.lit(0), F.length("word")), lambda i: F.call_function("getbit", F.col("borders"), i) == 1))
     spans = F.transform(F.slice("cuts", 1, F.size("cuts") - 1), lambda a, k: F.struct(
         a.alias("start"), F.element_at("cuts", k + 2).alias("end")))
     by_bytes = F.array(*map(F.lit, model.byte_ids))
 
     def ids(span):
-        edge = F.get(F.filter("edges", lambda e: (e["start"] == span["start"]) & (e["end"] == span["end"])), F.lit(0))
+        edge = F.get(F.filter("edges", lambda e: (_start(code_of(e)) == span["start"]) & (_end(code_of(e)) == span["end"])), F.lit(0))
         letter = F.hex(F.encode(F.substring(F.col("word"), span["start"] + 1, span["end"] - span["start"]), "UTF-8"))
         fallback = F.transform(F.sequence(F.lit(0), (F.length(letter) / 2).cast("int") - 1), lambda b: F.element_at(
             by_bytes, F.conv(F.substring(letter, b * 2 + 1, F.lit(2)), 16, 10).cast("int") + 1))
-        return F.when(edge.isNotNull(), F.array(edge["id"])).otherwise(fallback)
-    with_ids = cut.select("word", F.flatten(F.transform(spans, ids)).alias("ids"))
-
-    def long(batch):
-        found = [encode_word(w, model) for w in batch.column(0).to_pylist()]
-        yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["word", "ids"])
-    rest = words.where(alone).mapInArrow(by_batch(long), "word string, ids array<int>")
-    return with_ids.unionByName(rest)
+        return F.when(edge.isNotNull(), F.array(code_of(edge).bitwiseAND(F.lit((1 << 24) - 1)).cast("int"))).otherwise(fallback)
+    return cut.select(*by, F.flatten(F.transform(spans, ids)).alias("ids"))
 
 
 # --- documents -----------------------------------------------------------------------------
@@ -355,7 +357,7 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                         n = 0
                         for word in words:
                             ids = known.get(word)
-                            if ids is None:      # a recomputed block may differ from what it asked for
+                            if ids is None:      # not for the lattice, or a recomputed block differs
                                 ids = known[word] = np.array(encode_word(word, model), np.int32)
                             parts.append(ids)
                             n += len(ids)
@@ -365,11 +367,12 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     out.append(pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                                                ["doc_id", "ids"]))
         return pa.Table.from_batches(out)
-    asked = rows.mapInArrow(ask, "block string, word string")
-    dictionary = encode_words(asked.select("word").distinct(), model)
-    answers = asked.join(dictionary, "word").groupBy("block")
-    carried = rows.mapInArrow(carry, "block string, content binary").groupBy("block")
-    return carried.cogroup(answers).applyInArrow(meet, f"doc_id {kind}, ids array<int>")
+    # words and texts are shuffled once, by block; lattice, fold and encoding follow in place
+    parts = parts_for(docs, BLOCK_BYTES)
+    asked = rows.mapInArrow(lean(ask), "block string, word string").repartition(parts, "block")
+    carried = rows.mapInArrow(lean(carry), "block string, content binary").repartition(parts, "block")
+    answers = fold_words(asked, model, ["block", "word"])
+    return carried.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, f"doc_id {kind}, ids array<int>")
 
 
 def _slices(column: pa.ChunkedArray) -> list[np.ndarray]:
