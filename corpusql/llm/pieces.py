@@ -47,7 +47,7 @@ from corpusql.llm.common import by_batch, lean, parts_for
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONGEST = 60
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 UNIGRAM, BPE = 1, 2
 
 
@@ -223,13 +223,16 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
 
 
 def lattice(words: DataFrame, model: Model, by: list[str]) -> DataFrame:
-    """``(*by, edges)``: the edges of every word, ``by`` being the columns that name it. Where
+    """``(*by, edges)``: the edges of every word, ``by`` being ``word`` and what else names it. Where
     ``words`` is partitioned by some of them, grouping needs no shuffle."""
-    spans = F.expr(f"""flatten(transform(sequence(1, length(word)), i ->
-        transform(sequence(1, least({model.longest}, length(word) - i + 1)), n ->
-            named_struct('span', cast((i - 1) * 256 + i - 1 + n as bigint), 'piece', substring(word, i, n)))))""")
-    found = (words.select(*by, F.explode(spans).alias("s")).select(*by, "s.*")
-             .join(F.broadcast(piece_table(words.sparkSession, model)), "piece"))
+    # a single character is no merge, so for BPE its id is looked up when the borders are known
+    least = 2 if model.kind == BPE else 1
+    size = F.length("word")
+    starts = words.where(size >= least).select(*by, F.explode(F.sequence(F.lit(0), size - least)).alias("i"))
+    spans = starts.select(*by, "i", F.explode(F.sequence(F.lit(least), F.least(F.lit(model.longest), size - F.col("i")))).alias("n"))
+    spans = spans.select(*by, (F.col("i") * 257 + F.col("n")).cast("bigint").alias("span"),
+                         F.substring(F.col("word"), F.col("i") + 1, F.col("n")).alias("piece"))
+    found = spans.join(F.broadcast(piece_table(words.sparkSession, model)), "piece")
     code = F.shiftleft("nth", 40).bitwiseOR(F.shiftleft("span", 24)).bitwiseOR(F.col("id")).alias("code")
     return found.groupBy(*by).agg(F.collect_list(code if model.kind == BPE else F.struct(code, "score")).alias("edges"))
 
@@ -274,9 +277,10 @@ def viterbi_fold(word: Column, edges: str, unknown: float) -> Column:
 
 
 def fold_words(words: DataFrame, model: Model, by: list[str]) -> DataFrame:
-    """``(*by, ids)`` of the words that the lattice is for: up to ``LONGEST`` characters, no
-    pieces of equal score, and at least one piece. ``encode_word`` is for the others."""
-    fit = F.length("word") <= LONGEST
+    """``(*by, ids)`` of the words that the lattice is for: up to ``LONGEST`` characters of the
+    basic plane, no pieces of equal score, and at least one edge. ``encode_word`` is for the
+    others."""
+    fit = (F.length("word") <= LONGEST) & ~F.col("word").rlike(r"[\x{10000}-\x{10FFFF}]")
     for piece in model.tied:
         fit = fit & ~F.col("word").contains(piece)
     found = lattice(words.where(fit), model, by)
@@ -289,13 +293,21 @@ def fold_words(words: DataFrame, model: Model, by: list[str]) -> DataFrame:
     spans = F.transform(F.slice("cuts", 1, F.size("cuts") - 1), lambda a, k: F.struct(
         a.alias("start"), F.element_at("cuts", k + 2).alias("end")))
     by_bytes = F.array(*map(F.lit, model.byte_ids))
+    single = np.full(1 << 16, -1, np.int32)
+    for piece, (i, _) in model.table.items():
+        if len(piece) == 1 and ord(piece) < len(single):
+            single[ord(piece)] = i
+    by_letter = F.lit(single)
 
     def ids(span):
         edge = F.get(F.filter("edges", lambda e: (_start(code_of(e)) == span["start"]) & (_end(code_of(e)) == span["end"])), F.lit(0))
-        letter = F.hex(F.encode(F.substring(F.col("word"), span["start"] + 1, span["end"] - span["start"]), "UTF-8"))
+        text = F.substring(F.col("word"), span["start"] + 1, span["end"] - span["start"])
+        alone = F.element_at(by_letter, F.ascii(text) + 1)
+        letter = F.hex(F.encode(text, "UTF-8"))
         fallback = F.transform(F.sequence(F.lit(0), (F.length(letter) / 2).cast("int") - 1), lambda b: F.element_at(
             by_bytes, F.conv(F.substring(letter, b * 2 + 1, F.lit(2)), 16, 10).cast("int") + 1))
-        return F.when(edge.isNotNull(), F.array(code_of(edge).bitwiseAND(F.lit((1 << 24) - 1)).cast("int"))).otherwise(fallback)
+        return F.when(edge.isNotNull(), F.array(code_of(edge).bitwiseAND(F.lit((1 << 24) - 1)).cast("int"))).when(
+            (span["end"] - span["start"] == 1) & (alone >= 0), F.array(alone)).otherwise(fallback)
     return cut.select(*by, F.flatten(F.transform(spans, ids)).alias("ids"))
 
 
@@ -368,7 +380,7 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                                                ["doc_id", "ids"]))
         return pa.Table.from_batches(out)
     # words and texts are shuffled once, by block; lattice, fold and encoding follow in place
-    parts = parts_for(docs, BLOCK_BYTES)
+    parts = parts_for(docs, BLOCK_BYTES // 4)      # few blocks share a part, so sorts fit in memory
     asked = rows.mapInArrow(lean(ask), "block string, word string").repartition(parts, "block")
     carried = rows.mapInArrow(lean(carry), "block string, content binary").repartition(parts, "block")
     answers = fold_words(asked, model, ["block", "word"])
