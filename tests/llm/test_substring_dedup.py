@@ -115,3 +115,41 @@ def test_empty_tables(spark):
     docs = table(spark, [])
     assert fmindex.remove_repeats(docs).count() == 0
     assert bwtmerge.remove_repeats(docs).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 300, 0])
+def test_split_hot_keys_are_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT_BYTES", hot)
+    rows = _corpus(5)
+    docs = table(spark, [(i, t, "en", "s") for i, t in rows])
+    got = fmindex.remove_repeats(docs, length=6).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in got) == sorted(fm_dedup(rows, 6))
+    got = bwtmerge.remove_repeats(docs, length=80).collect()
+    assert (sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got)
+            == sorted(byte_dedup(rows, 80)))
+
+
+def test_one_hot_key_is_no_single_group(spark, monkeypatch):
+    """A passage shorter than a window in 300 texts, no two of the same surroundings, some with more in common."""
+    most = 20_000
+    monkeypatch.setattr(repeats, "LEAST_HEAVY", 1 << 40)
+    monkeypatch.setattr(repeats, "HOT_BYTES", most, raising=False)
+    monkeypatch.setattr(bwtmerge, "TASK_BYTES", most)
+    make = bwtmerge.repeated_starts
+
+    def limited(length):
+        solve = make(length)
+
+        def run(texts, starts, n, least):
+            assert sum(map(len, texts)) <= 2 * most, "one key is one group"
+            return solve(texts, starts, n, least)
+        return run
+    monkeypatch.setattr(bwtmerge, "repeated_starts", limited)
+    rng = random.Random(6)
+    filler = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, ends = filler(385), [filler(40) for _ in range(3)]
+    rows = [(i, filler(300) + passage + (ends[i % 3] if i < 9 else "") + filler(300)) for i in range(300)]
+    docs = table(spark, [(i, t, "en", "s") for i, t in rows])
+    got = bwtmerge.remove_repeats(docs).collect()
+    assert (sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got)
+            == sorted(byte_dedup(rows, 400)))
