@@ -74,14 +74,20 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarra
     return out
 
 
-def fingerprint_table(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` per row; fp is the fingerprint's 64 bits as a long."""
+def fingerprint_table(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text",
+                      with_tid: bool = False) -> DataFrame:
+    """``(doc_id, fp)`` per row; fp is the fingerprint's 64 bits as a long. ``with_tid`` adds a
+    hash of the text, ``tid``."""
+    extra = ["tid"] if with_tid else []
+
     def make(batch):
         found = [fingerprints(data, at, width) for _, _, data, at in pieces(batch.column(1))]
-        yield pa.record_batch([batch.column(0), pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "fp"])
+        yield pa.record_batch([batch.column(0), pa.array(np.concatenate(found).view(np.int64)),
+                               *(batch.column(2) for _ in extra)], ["doc_id", "fp", *extra])
     kind = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(by_batch(make), f"doc_id {kind}, fp bigint"))
+    return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                        *(F.xxhash64(F.col(text_col)).alias(c) for c in extra))
+            .mapInArrow(by_batch(make), f"doc_id {kind}, fp bigint" + "".join(f", {c} bigint" for c in extra)))
 
 
 # --- the index ----------------------------------------------------------------------
@@ -210,7 +216,8 @@ def links(distinct: DataFrame, plan: list[tuple[list[int], int]], most: int) ->
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(fp, least)``: the least ``doc`` of each fingerprint's component.
+    """``(fp, least, at)``: the least ``doc`` of each fingerprint's component and its
+    fingerprint, which tells components without an id apart.
 
     Labels flow along links and jump to their own label's label, so rounds grow with
     the logarithm of a component's diameter. Every round is a stored table.
@@ -229,18 +236,24 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                        .select("fp", F.least("label", "further").alias("label"),
                                (F.least("label", "further") != F.col("before")).alias("changed")), "simhash-labels")
         if state.where("changed").limit(1).count() == 0:
-            return state.select("fp", F.col("label.doc").alias("least"))
+            return state.select("fp", F.col("label.doc").alias("least"), F.col("label.at").alias("at"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp, component_id)`` per row of ``docs``."""
-    table = stored(fingerprint_table(docs, width, id_col, text_col), "simhash-fingerprints")
+def _named(docs: DataFrame, width: int, most: int, id_col: str, text_col: str, with_tid: bool) -> DataFrame:
+    """The fingerprint table with ``component_id`` and ``component``, a fingerprint."""
+    table = stored(fingerprint_table(docs, width, id_col, text_col, with_tid), "simhash-fingerprints")
     nodes = stored(table.groupBy("fp").agg(F.min("doc_id").alias("doc")), "simhash-nodes")
     plan = plan_index(nodes.select("fp"), most)
     found = components(nodes, links(nodes.select("fp"), plan, most))
-    names = nodes.join(found, "fp", "left").select("fp", F.coalesce("least", "doc").alias("component_id"))
-    return table.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = nodes.join(found, "fp", "left").select("fp", F.coalesce("least", "doc").alias("component_id"),
+                                                   F.coalesce("at", "fp").alias("component"))
+    return table.join(names, "fp")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """``(doc_id, fp, component_id)`` per row of ``docs``."""
+    return _named(docs, width, most, id_col, text_col, False).select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -248,12 +261,13 @@ def hex_digits(fp: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame:
-    """One document of each component, the one with the least id; its repeated rows are
-    one row."""
-    found = near_duplicates(docs, width, most)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return (docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
-            .dropDuplicates(["doc_id", "text"]))
+    """One document of each component, the one with the least id, of several texts with
+    that id or of texts without an id one of the least fingerprint; its repeated rows are one row."""
+    found = _named(docs, width, most, "doc_id", "text", True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "tid")).alias("first")
+    keep = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.tid").alias("_tid"))
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_tid"))
+    return docs.join(keep.hint("merge"), same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -58,3 +58,15 @@ def test_one_of_each_and_empty(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({v for v in want.values()})
     assert simhash.near_duplicates(table(spark, [])).count() == 0
     assert simhash.one_of_each(table(spark, [])).count() == 0
+
+
+def test_one_of_each_without_ids_and_with_repeated_ids(spark):
+    """Every component leaves one row: ids that are null or have several texts name none."""
+    text = lambda c: " ".join(f"{c}{i}x{i * i}" for i in range(200))
+    t, u, v = text("t"), text("u"), text("v")
+    near = {x: x.upper() for x in (t, u, v)}          # other text, equal fingerprint
+    rows = [(1, t), (None, near[t]), (None, u), (None, near[u]), (None, u), (3, v), (1, near[v]), (4, v), (1, near[t])]
+    kept = simhash.one_of_each(table(spark, [(i, x, "en", "a") for i, x in rows])).collect()
+    assert len(kept) == 3
+    by = {fingerprint(r.text): r.doc_id for r in kept}
+    assert by == {fingerprint(t): 1, fingerprint(u): None, fingerprint(v): 1}
