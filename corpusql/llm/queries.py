@@ -1,6 +1,6 @@
 """Registered queries of the operators and their DuckDB SQL."""
 
-from corpusql.llm import bwtmerge, fmindex, mixing, multiset, pieces, quality, simhash, topk, toxicity, warc
+from corpusql.llm import bwtmerge, filteraudit, fmindex, mixing, multiset, pieces, quality, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_topk_search": topk.op8_topk_search,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_document_fingerprints": multiset.op10_document_fingerprints,
+    "op11_filter_audit": filteraudit.op11_filter_audit,
 }
 
 ORACLES = {
@@ -20,4 +21,5 @@ ORACLES = {
     "op8_topk_search": topk.ORACLE_SQL,
     "op2_warc_archives": warc.ORACLE_SQL,
     "op5_mix_sources": mixing.ORACLE_SQL,
+    "op11_filter_audit": filteraudit.ORACLE_SQL,
 }
