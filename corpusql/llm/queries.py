@@ -1,6 +1,6 @@
 """Registered queries of the operators and their DuckDB SQL."""
 
-from corpusql.llm import bwtmerge, filteraudit, fmindex, mixing, multiset, pieces, quality, simhash, topk, toxicity, warc
+from corpusql.llm import bwtmerge, divergence, filteraudit, fmindex, minhash, mixing, multiset, pieces, quality, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_document_fingerprints": multiset.op10_document_fingerprints,
     "op11_filter_audit": filteraudit.op11_filter_audit,
+    "op12_minhash_near_dedup": minhash.op12_minhash_near_dedup,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 ORACLES = {
@@ -22,4 +24,6 @@ ORACLES = {
     "op2_warc_archives": warc.ORACLE_SQL,
     "op5_mix_sources": mixing.ORACLE_SQL,
     "op11_filter_audit": filteraudit.ORACLE_SQL,
+    "op12_minhash_near_dedup": minhash.ORACLE_SQL,
+    "op13_source_divergence": divergence.ORACLE_SQL,
 }
