@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusql.operators.matching import exact_match, extract_predictions
-from corpusql.operators.positions import dense_positions
+from corpusql.session import stored
+
+#: Parts that a selection cuts an interval into, and how many values it orders in one task at last.
+BINS, FEW = 4096, 4096
 
 
 def prediction_records(examples: DataFrame, responses: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -172,33 +175,83 @@ def error_buckets(predictions: DataFrame, per_bucket: int = 2) -> DataFrame:
     return counts.join(reps, ["mode", "category"])
 
 
-def exact_percentiles(df: DataFrame, group: str, value: str, probs=(0.5, 0.95),
-                      tie: str = "index") -> DataFrame:
-    """Exact linear-interpolation percentiles per group without collecting a group.
+def _bin(v, lo, hi) -> F.Column:
+    """Place of ``v`` among ``BINS`` equal parts of ``lo`` to ``hi``, never falling as ``v`` grows; infinite values and NaN
+    have places of their own. Halves keep the span of the largest doubles finite."""
+    span = hi / 2 - lo / 2
+    part = F.when(span > 0, F.floor((v / 2 - lo / 2) / F.when(span > 0, span) * BINS)).otherwise(0)
+    return (F.when(F.isnan(v), BINS + 2).when(v == float("inf"), BINS + 1).when(v == float("-inf"), -1)
+            .otherwise(part).cast("int"))
+
 
-    NULL values are no observations. Values get one dense position in (group, value, tie) order
-    (range-partitioned, so a hot group spans many tasks); per group only start and count are
-    aggregated; the two neighbours of rank (n-1)p are fetched by one equi-join on
-    position. Result: lo + (hi - lo) * frac.
+def selected(values: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(g, rank, v)``: the value at each wanted place, from 0, in the order of its group's values.
+
+    ``values(g, v)``, ``wanted(g, rank)``. No value moves to be sorted: a histogram over a group's range
+    finds the bin that holds a rank, and the next histogram is over that bin only, from its
+    least to its largest value, until a bin holds one value or at most ``FEW`` of them. What is
+    shuffled are bin counts, at most ``BINS + 3`` per task and interval.
+    """
+    finite = (F.col("v") > float("-inf")) & (F.col("v") < float("inf"))
+    bounds = values.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+                                     F.min(F.when(finite, F.col("v"))).alias("from"), F.max(F.when(finite, F.col("v"))).alias("to"))
+    zero = F.lit(0).cast("bigint")
+    state = stored(wanted.join(bounds, "g").select("g", "rank", zero.alias("skip"), "n", "lo", "hi",
+                                                   *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("from", "to"))), "selection")
+    interval = ["g", "lo", "hi"]
+
+    def within(intervals: DataFrame) -> DataFrame:
+        return values.join(intervals, "g").where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+    while True:
+        open_ = state.where((F.col("lo") < F.col("hi")) & (F.col("n") > FEW))
+        if not open_.limit(1).count():
+            break
+        counts = (within(open_.select(*interval, "from", "to").distinct())
+                  .groupBy(*interval, _bin(F.col("v"), F.col("from"), F.col("to")).alias("bin"))
+                  .agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most")))
+        upto = F.sum("c").over(Window.partitionBy(*interval).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+        counts = counts.withColumn("before", F.coalesce(upto, zero))
+        nth = F.col("rank") - F.col("skip")
+        found = (open_.join(counts, interval).where((F.col("before") <= nth) & (nth < F.col("before") + F.col("c")))
+                 .select("g", "rank", (F.col("skip") + F.col("before")).alias("skip"), F.col("c").alias("n"), F.col("least").alias("lo"),
+                         F.col("most").alias("hi"), F.col("least").alias("from"), F.col("most").alias("to")))
+        state = stored(state.where((F.col("lo") >= F.col("hi")) | (F.col("n") <= FEW)).unionByName(found), "selection")
+    known = state.where(F.col("lo") == F.col("hi")).select("g", "rank", F.col("lo").alias("v"))
+    few = state.where(F.col("lo") < F.col("hi"))
+    order = F.row_number().over(Window.partitionBy("g", "rank").orderBy("v"))     # of at most ``FEW`` values
+    last = (within(few.select("g", "rank", "skip", "lo", "hi")).withColumn("nth", order)
+            .where(F.col("nth") == F.col("rank") - F.col("skip") + 1).select("g", "rank", "v"))
+    return known.unionByName(last)
+
+
+def exact_percentiles(df: DataFrame, group: str, value: str, probs=(0.5, 0.95)) -> DataFrame:
+    """Exact linear-interpolation percentiles ``(group, p, q)`` by selection, without sorting
+    or collecting a group.
+
+    NULL values are no observations and a NULL group has no percentiles; NaN is larger than any
+    number. The neighbours of rank (n-1)p give lo + (hi - lo) * frac.
     """
-    ranked = dense_positions(df.select(group, value, tie).where(F.col(value).isNotNull()), [group, value, tie], name="_g")
-    stats = ranked.groupBy(group).agg(F.min("_g").alias("_s"), F.count("*").alias("_n"))
-    wanted = stats.select(group, "_s", "_n", F.explode(F.array(*[F.lit(p) for p in probs])).alias("p"))
-    wanted = (wanted.withColumn("_r", (F.col("_n") - 1).cast("double") * F.col("p"))
-              .withColumn("_lo", F.col("_s") + F.floor("_r").cast("bigint"))
-              .withColumn("_hi", F.col("_s") + F.ceil("_r").cast("bigint"))
-              .withColumn("_f", F.col("_r") - F.floor("_r")))
-    ends = wanted.select(group, "p", "_f", "_lo", F.explode(F.array("_lo", "_hi")).alias("_g"))
-    got = (ends.join(ranked.select("_g", F.col(value).alias("_v")), "_g").groupBy(group, "p", "_f")
-           .agg(F.min_by("_v", "_g").alias("_vlo"), F.max_by("_v", "_g").alias("_vhi")))
-    return got.select(group, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_f")).alias("q"))
+    values = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    rank = (F.col("n") - 1).cast("double") * F.col("p")
+    places = (values.groupBy("g").agg(F.count("*").alias("n"))
+              .select("g", "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+              .select("g", "p", F.floor(rank).cast("bigint").alias("low"), F.ceil(rank).cast("bigint").alias("high"),
+                      (rank - F.floor(rank)).alias("f")))
+    places = stored(places, "percentile-places")
+    got = stored(selected(values, places.select("g", F.explode(F.array("low", "high")).alias("rank")).distinct()), "selected")
+    out = places
+    for name in ("low", "high"):
+        out = out.join(got.select("g", F.col("rank").alias(name), F.col("v").alias(f"v_{name}")), ["g", name])
+    q = F.when(F.col("v_low") == F.col("v_high"), F.col("v_low")).otherwise(
+        F.col("v_low") + (F.col("v_high") - F.col("v_low")) * F.col("f"))
+    return out.select(F.col("g").alias(group), "p", q.alias("q"))
 
 
 def latency_summary(log: DataFrame, group: str = "mode", latency: str = "generation_time_s",
-                    ts: str | None = None, tie: str = "index") -> DataFrame:
+                    ts: str | None = None) -> DataFrame:
     """p50/p95 latency and requests per second (count over the log's time span). Requests without a latency count as
     requests only."""
-    q = exact_percentiles(log, group, latency, (0.5, 0.95), tie)
+    q = exact_percentiles(log, group, latency, (0.5, 0.95))
     piv = q.groupBy(group).agg(
         F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("p50"),
         F.max(F.when(F.col("p") == 0.95, F.col("q"))).alias("p95"))

@@ -32,6 +32,7 @@ SEED = 42
 FEW_SHOT_K = 3
 TOKEN_TEMPLATE = [614, 884]   # tokens of "of the" (see token_features)
 BATCH_SIZE = 8
+ARRAY_RECORDS = 5000          # records of an array file
 MAX_SEQ = 48
 
 
@@ -96,6 +97,14 @@ def execution_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(EXECUTION_PAIRS), "example_id bigint, db_id string, gold_sql string, pred_sql string")
 
 
+def example_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs above and one per document (``example_id = 100 + doc_id``): its gold text and the predicted one."""
+    d = table(spark, sf_dir, "documents")
+    return execution_pairs(spark, sf_dir).unionByName(d.select(
+        (F.col("doc_id") + 100).alias("example_id"), F.col("source").alias("db_id"), gold_sql().alias("gold_sql"),
+        perturbed_sql().alias("pred_sql")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -294,3 +303,11 @@ def registry(spark: SparkSession, sf_dir: str) -> dict[str, dict[str, str]]:
     srcs = [r[0] for r in table(spark, sf_dir, "documents").select("source").distinct()
             .where(~F.col("source").like("%3")).collect()]
     return {s: dict(paths) for s in sorted(srcs)}
+
+
+def registry_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same locations as ``(db_id, table_name, path)`` rows."""
+    places = F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(f"{sf_dir.rstrip('/')}/{t}.parquet").alias("path"))
+                       for t in TPCH_TABLES])
+    known = table(spark, sf_dir, "documents").select(F.col("source").alias("db_id")).distinct().where(~F.col("db_id").like("%3"))
+    return known.select("db_id", F.inline(places))

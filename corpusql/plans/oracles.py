@@ -276,26 +276,52 @@ def _pair_row(eid, db, gold, pred) -> str:
             f"{prows} AS pred_rows, false AS gold_failed, false AS pred_failed, true AS db_found")
 
 
+N_CASES = 40     # template and variant of a document follow from its key modulo 40
+
+
+def _variants() -> str:
+    """``(k, gold, pred, gold_rows, pred_rows, same)`` per template and variant that occur together; pred_rows
+    is -1 where Spark rejects the text."""
+    rows = []
+    for k in range(N_CASES):
+        t, v = k % len(fx.GOLD_TEMPLATES), k % fx.N_VARIANTS
+        gold, pred = _exec_text(fx.GOLD_TEMPLATES[t]), _exec_text(fx.PREDICTED[t * fx.N_VARIANTS + v])
+        n = _ncols(gold)
+        fails = v in FAILING_VARIANTS or not pred
+        same = "false" if fails else (f"(SELECT count(*) = 0 FROM (SELECT r FROM ({_strrows(gold, 1, n)} UNION ALL "
+                                      f"{_strrows(pred + chr(10), -1, 1 if v == 6 else n)}) GROUP BY r HAVING sum(s) <> 0))")
+        rows.append(f"SELECT {k} AS k, {text_lit(gold)} AS gold, {text_lit(pred)} AS pred, (SELECT count(*) FROM ({gold})) AS gold_rows, "
+                    + ("-1" if fails else f"(SELECT count(*) FROM ({pred + chr(10)}))") + f" AS pred_rows, {same} AS same")
+    return "\nUNION ALL ".join(rows)
+
+
 def _execution_accuracy_sql() -> str:
     rows = "\nUNION ALL ".join(_pair_row(*p) for p in fx.EXECUTION_PAIRS)
-    return f"SELECT example_id, db_id, exec_match, CAST(gold_rows AS BIGINT) AS gold_rows, CAST(pred_rows AS BIGINT) AS pred_rows, gold_failed, pred_failed, db_found FROM (\n{rows}\n)"
+    return f"""WITH variants AS ({_variants()}),
+examples AS (SELECT doc_id + 100 AS example_id, source AS db_id, {KEY} % {N_CASES} AS k, source NOT LIKE '%3' AS found FROM documents)
+SELECT example_id, db_id, exec_match, CAST(gold_rows AS BIGINT) AS gold_rows, CAST(pred_rows AS BIGINT) AS pred_rows,
+       gold_failed, pred_failed, db_found FROM (
+{rows}
+UNION ALL SELECT example_id, db_id, found AND same, CASE WHEN found THEN gold_rows ELSE -1 END, CASE WHEN found THEN pred_rows ELSE -1 END,
+       NOT found, NOT found OR pred_rows < 0, found FROM examples JOIN variants USING (k))"""
 
 
 def _execute_queries_sql() -> str:
-    seen: dict[tuple[str, str], str] = {}
+    texts: dict[str, str] = {}
+    used = []
     for _, db, gold, pred in fx.EXECUTION_PAIRS:
-        for s in (gold, pred):
-            phys = f"missing:{db}" if db in MISSING_DBS else "tpch"
-            key = (phys, _exec_text(s))
-            seen[key] = min(seen.get(key, db), db)
-    rows = []
-    for (phys, text), db in sorted(seen.items()):
-        if phys.startswith("missing") or text in FAILING_TEXTS:
-            rows.append(f"SELECT {lit(db)} AS db_id, {lit(text)} AS exec_sql, true AS failed, CAST(-1 AS BIGINT) AS n_rows")
-        else:
-            rows.append(f"SELECT {lit(db)} AS db_id, {lit(text)} AS exec_sql, false AS failed, "
-                        f"CAST((SELECT count(*) FROM ({text})) AS BIGINT) AS n_rows")
-    return "\nUNION ALL ".join(rows)
+        for text in map(_exec_text, (gold, pred)):
+            used.append(f"({lit(db)}, {lit(text)})")
+            texts[text] = "-1" if text in FAILING_TEXTS else f"(SELECT count(*) FROM ({text}))"
+    rows = "\nUNION ALL ".join(f"SELECT {lit(text)} AS text, {n} AS n" for text, n in sorted(texts.items()))
+    return f"""WITH variants AS ({_variants()}),
+used AS (SELECT * FROM (VALUES {', '.join(used)}) x(db_id, text)
+  UNION ALL SELECT source, gold FROM documents JOIN variants ON k = {KEY} % {N_CASES}
+  UNION ALL SELECT source, pred FROM documents JOIN variants ON k = {KEY} % {N_CASES}),
+counted AS (SELECT text, any_value(n) AS n FROM ({rows} UNION ALL SELECT gold, gold_rows FROM variants UNION ALL SELECT pred, pred_rows FROM variants) GROUP BY text),
+place AS (SELECT CASE WHEN db_id LIKE '%3' THEN db_id END AS gone, text, min(db_id) AS db_id FROM used GROUP BY ALL)
+SELECT db_id, text AS exec_sql, gone IS NOT NULL OR n < 0 AS failed, CAST(CASE WHEN gone IS NULL THEN n ELSE -1 END AS BIGINT) AS n_rows
+FROM place JOIN counted USING (text)"""
 
 
 FAILING_VARIANTS = (5, 8)      # an unknown column; no SQL
@@ -453,6 +479,9 @@ ORACLES: dict[str, str] = {
     "scan_catalog": f"WITH {CTE_CATALOG} SELECT db_id, pos, table_names_original, column_names_original, "
                     "column_types, primary_keys, foreign_keys FROM catalog",
     "scan_examples": f"WITH {CTE_RAW} SELECT db_id, question, query, pos FROM raw",
+    "scan_catalog_array": f"""WITH {CTE_CATALOG} SELECT db_id, row_number() OVER (ORDER BY pos) - 1 AS pos, table_names_original,
+        column_names_original, column_types, primary_keys, foreign_keys FROM catalog""",
+    "scan_examples_array": f"WITH {CTE_RAW} SELECT db_id, question, query, row_number() OVER (ORDER BY pos) - 1 AS pos FROM raw",
     "scan_instructions": f"WITH {CTE_SPLITS} SELECT split, db_id, pos, question, output, schema, instruction FROM splits",
     "write_splits": f"WITH {CTE_SPLITS} SELECT split, db_id, pos, question, output, schema, instruction FROM splits",
     "resolve_database": f"""WITH {CTE_RAW} SELECT db_id, CAST(CASE WHEN db_id LIKE '%3' THEN 0 ELSE {len(fx.TPCH_TABLES)} END AS BIGINT) AS n_tables,
@@ -462,7 +491,12 @@ ORACLES: dict[str, str] = {
           count(*) FILTER (WHERE split = 'train') AS counts_train, count(*) FILTER (WHERE split = 'val') AS counts_val,
           count(*) FILTER (WHERE split = 'dev') AS counts_dev_test,
           (SELECT count(DISTINCT db_id) FROM catalog) AS num_databases_total FROM splits""",
-    "write_results": f"WITH {CTE_EVENTS} " + METRICS_SELECT.format(src="ev"),
+    "write_results": f"""WITH {CTE_EVENTS}, m AS ({METRICS_SELECT.format(src="ev")}),
+        p AS (SELECT mode, count(*) AS n_predictions, CAST(sum(CAST('0x' || substr(md5(concat_ws(chr(31), "index", db_id, question, '', '',
+            CAST(exact_match AS INTEGER), CAST(exec_match AS INTEGER), CAST(db_found AS INTEGER), coalesce(pred_error, chr(30)),
+            CAST(floor(generation_time_s * 1000) AS BIGINT))), 1, 12) AS BIGINT)) AS VARCHAR) AS predictions_digest FROM ev GROUP BY mode)
+        SELECT m.*, CAST(CASE WHEN mode = 'few-shot' THEN {fx.FEW_SHOT_K} ELSE 0 END AS INTEGER) AS num_few_shot, CAST({fx.SEED} AS INTEGER) AS seed,
+               total_examples AS config_examples, n_predictions, predictions_digest FROM m JOIN p USING (mode)""",
     # catalog
     "catalog_columns": f"""WITH {CTE_CATALOG}, {CTE_COLS}
         SELECT db_id, pos, idx AS col_idx, t AS table_idx, table_name, name AS column_name, raw_type AS column_type,

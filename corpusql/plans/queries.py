@@ -26,6 +26,30 @@ def q_scan_catalog(spark, sf):
         "primary_keys", "foreign_keys")
 
 
+def _array_file(records: DataFrame, path: str) -> None:
+    """The records as pretty-printed JSON arrays of ``fx.ARRAY_RECORDS`` each, without positions."""
+    ordered = records.select(F.to_json(F.struct(*[c for c in records.columns if c != "pos"]), {"pretty": "true"}).alias("r"),
+                             F.floor(F.col("pos") / fx.ARRAY_RECORDS).cast("bigint").alias("file"), "pos")
+    files = ordered.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pos", "r"))).alias("rs"))
+    text = F.concat(F.lit("[\n"), F.array_join(F.transform("rs", lambda x: x["r"]), ",\n"), F.lit("\n]\n"))
+    named = files.select(F.format_string("%08d", "file").alias("part"), text.alias("value"))
+    named.repartition("part").write.option("lineSep", " ").partitionBy("part").text(path)
+
+
+def q_scan_examples_array(spark, sf):
+    """Examples of JSON arrays without positions: they come from the order of files and records."""
+    path = scratch_path(spark, "examples-array")
+    _array_file(fx.raw_examples(spark, sf), path)
+    return readers.scan_examples(spark, path).select("db_id", "question", "query", "pos")
+
+
+def q_scan_catalog_array(spark, sf):
+    path = scratch_path(spark, "catalog-array")
+    _array_file(fx.catalog(spark, sf), path)
+    return readers.scan_catalog(spark, path).select(
+        "db_id", "pos", "table_names_original", "column_names_original", "column_types", "primary_keys", "foreign_keys")
+
+
 def q_scan_examples(spark, sf):
     path = scratch_path(spark, "raw-examples")
     fx.raw_examples(spark, sf).write.json(path)
@@ -40,9 +64,7 @@ def q_scan_instructions(spark, sf):
 
 
 def q_resolve_database(spark, sf):
-    entries = [(d, t, p) for d, tabs in fx.registry(spark, sf).items() for t, p in tabs.items()]
-    regdf = reg.registry_from_dirs(spark, entries)
-    return reg.resolve_database(fx.raw_examples(spark, sf), regdf)
+    return reg.resolve_database(fx.raw_examples(spark, sf), fx.registry_table(spark, sf))
 
 
 def q_write_splits(spark, sf):
@@ -69,8 +91,8 @@ def q_write_results(spark, sf):
     path = scratch_path(spark, "results-out")
     preds = fx.predictions_from_events(spark, sf)
     m = metrics.eval_metrics(preds)
-    writers.write_results(preds.drop("ts"), m, path, fmt="parquet")
-    return spark.read.parquet(f"{path}/metrics").select(*m.columns)
+    writers.write_results(preds.drop("ts", "event_id"), m, path, fmt="parquet", num_few_shot=fx.FEW_SHOT_K, seed=fx.SEED)
+    return writers.read_results(spark, path, fmt="parquet")
 
 
 # ---------------------------------------------------------------- catalog
@@ -208,11 +230,11 @@ def q_exact_match(spark, sf):
 
 # ---------------------------------------------------------------- execution
 def _sessions(spark, sf):
-    return reg.DatabaseSessions(spark, fx.registry(spark, sf))
+    return reg.DatabaseSessions(spark, fx.registry_table(spark, sf))
 
 
 def q_execute_queries(spark, sf):
-    pairs = fx.execution_pairs(spark, sf)
+    pairs = fx.example_pairs(spark, sf)
     sides = pairs.select("db_id", F.col("gold_sql").alias("sql")).unionByName(
         pairs.select("db_id", F.col("pred_sql").alias("sql")))
     _, status = execution.execute_queries(spark, sides, _sessions(spark, sf))
@@ -225,7 +247,7 @@ def q_compare_result_sets(spark, sf):
 
 
 def _exec_verdicts(spark, sf):
-    return execution.execution_accuracy(spark, fx.execution_pairs(spark, sf), _sessions(spark, sf))
+    return execution.execution_accuracy(spark, fx.example_pairs(spark, sf), _sessions(spark, sf))
 
 
 def q_execution_accuracy(spark, sf):
@@ -240,8 +262,7 @@ def q_missing_database_verdict(spark, sf):
     sessions = _sessions(spark, sf)
     test = fx.raw_examples(spark, sf).select(F.col("pos").alias("example_id"), "db_id", F.col("query").alias("gold_sql"),
                                              F.col("query").alias("pred_sql"))
-    known = spark.createDataFrame([(d,) for d in sorted(sessions.physical_map())], "db_id string")
-    v = execution.execution_accuracy(spark, test.join(known, "db_id", "left_anti"), sessions)
+    v = execution.execution_accuracy(spark, test.join(sessions.physical(), "db_id", "left_anti"), sessions)
     return v.select("example_id", "db_id", "exec_match", "gold_rows", "pred_rows",
                     F.col("gold_error").isNotNull().alias("gold_failed"),
                     F.col("pred_error").isNotNull().alias("pred_failed"), "db_found")
@@ -308,7 +329,7 @@ def q_error_buckets(spark, sf):
 def q_latency_summary(spark, sf):
     # every fourth request has no latency
     ev = fx.table(spark, sf, "events").withColumn("value", F.when(F.pmod("event_id", F.lit(4)) != 0, F.col("value")))
-    return metrics.latency_summary(ev, group="event_type", latency="value", ts="ts", tie="event_id")
+    return metrics.latency_summary(ev, group="event_type", latency="value", ts="ts")
 
 
 # ---------------------------------------------------------------- batches

@@ -1,39 +1,54 @@
 """Sources: catalog, raw examples, instruction sets.
 
-JSON arrays (one pretty-printed file) are read with ``multiLine``; such a file is
-one unsplittable partition, so JSON Lines and Parquet are accepted as well and
-preferred at scale. Files without a position column get ``pos`` from the file
+Records come from JSON arrays, JSON Lines or Parquet. All three are read by several tasks a
+file: an array is cut into byte ranges (``sources/json_array.py``). A folder holds files of one kind; one
+of another kind raises. Records without a position column get ``pos`` from the file
 name and row order (see ``with_file_pos``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusql.operators.positions import dense_positions
+from corpusql.session import stored
 from corpusql.sources import schemas
+from corpusql.sources.json_array import read_array
+
+#: One row of 24 bytes per file split: up to so many splits their offsets are broadcast.
+BROADCAST_SPLITS = 1_000_000
 
 
 def _is_json_array(spark: SparkSession, path: str) -> bool:
-    head = spark.read.text(path, wholetext=False).limit(1).collect()
-    return bool(head) and head[0][0].lstrip().startswith("[")
+    head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    return bool(head) and head[0][0].lstrip("\ufeff \t").startswith("[")
 
 
 def read_records(spark: SparkSession, path: str, schema, fmt: str | None = None, required: tuple = ()) -> DataFrame:
     """Read JSON (array or lines) or Parquet with a fixed schema.
 
     A missing path raises ``AnalysisException`` (PATH_NOT_FOUND), a malformed record fails
-    the read, and so does a record without one of ``required``.
+    the read, and so does a record without one of ``required``. The records of arrays have their ``pos``.
     """
     fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "json")
     if fmt == "parquet":
         return _with_required(spark.read.schema(schema).parquet(path), required)
-    reader = spark.read.schema(schema).option("mode", "FAILFAST")
     if _is_json_array(spark, path):
-        reader = reader.option("multiLine", True)
-    return _with_required(reader.json(path), required)
+        return _with_required(_array_records(spark, path, schema), required)
+    return _with_required(spark.read.schema(schema).option("mode", "FAILFAST").json(path), required)
+
+
+def _array_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Parsed records of array files; ``pos`` is the place in the files unless all records carry one."""
+    found = read_array(spark, path)
+    parsed = found.select(F.col("pos").alias("_at"), F.from_json("record", schema, {"mode": "FAILFAST"}).alias("r"))
+    flat = parsed.select("_at", "r.*")
+    if "pos" not in schema.names:
+        return flat.drop("_at")
+    flat = stored(flat, "array-records")
+    own = flat.agg(F.bool_and(F.col("pos").isNotNull()).alias("own")).first()["own"]
+    return flat.withColumn("pos", F.col("pos" if own else "_at")).select(*schema.names)
 
 
 def _with_required(df: DataFrame, names: tuple) -> DataFrame:
@@ -43,18 +58,31 @@ def _with_required(df: DataFrame, names: tuple) -> DataFrame:
 
 
 def with_file_pos(df: DataFrame) -> DataFrame:
-    """Fill a missing ``pos`` with the record's place in (file path, position in the file)
-    order, dense from 0; files that carry ``pos`` keep theirs.
+    """``pos`` of records that lack one: the record's place in (file path, position in the file)
+    order, dense from 0. If all records carry ``pos`` it is kept; if only some do, all are numbered
+    anew, so no two share a number.
 
-    A row's offset inside its scan partition grows with its place in its file, and file parts
-    are ordered by path and start, so the order does not follow how parts are packed.
+    Records do not move: a first pass counts each file split's rows, the counts give each split its
+    first number, and a row adds its offset within the split to that. Both passes read the
+    same splits; if Spark has cut or packed them otherwise in between, the second raises.
     """
-    if df.where(F.col("pos").isNull()).limit(1).count() == 0:
+    split = [F.xxhash64(F.input_file_name()).alias("_file"), F.input_file_block_start().alias("_start")]
+    row = F.monotonically_increasing_id()
+    placed = df.select(*split, F.input_file_name().alias("_path"), row.alias("_row"), F.col("pos").isNull().alias("_none"))
+    counts = stored(placed.groupBy("_path", "_file", "_start").agg(
+        F.count("*").alias("_n"), F.count_if("_none").alias("_without"), F.min("_row").alias("_least")), "file-splits")
+    totals = counts.agg(F.sum("_without").alias("without"), F.count("*").alias("splits")).first()
+    if not totals["without"]:
         return df
-    placed = df.select("*", F.input_file_name().alias("_file"), F.input_file_block_start().alias("_part"),
-                       F.monotonically_increasing_id().alias("_row"))
-    ranked = dense_positions(placed, ["_file", "_part", "_row"], name="_at")
-    return ranked.withColumn("pos", F.coalesce("pos", "_at")).select(*df.columns)
+    # one row per file split, in one task
+    first = F.coalesce(F.sum("_n").over(Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = stored(counts.select("_file", "_start", "_least", "_n", first.alias("_first")), "file-offsets")
+    if totals["splits"] <= BROADCAST_SPLITS:
+        starts = F.broadcast(starts)
+    numbered = df.select("*", *split, row.alias("_row")).join(starts, ["_file", "_start"], "left")
+    nth = F.col("_row") - F.col("_least")
+    moved = F.raise_error(F.lit("the files were cut otherwise when their rows were counted")).cast("bigint")
+    return numbered.withColumn("pos", F.when((nth >= 0) & (nth < F.col("_n")), F.col("_first") + nth).otherwise(moved)).select(*df.columns)
 
 
 def scan_catalog(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:

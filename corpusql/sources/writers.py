@@ -7,7 +7,7 @@ output committer, so a lost executor only re-runs its tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INSTRUCTION_COLUMNS = ["instruction", "schema", "question", "output", "db_id", "pos"]
@@ -55,3 +55,34 @@ def write_results(predictions: DataFrame, metrics: DataFrame, path: str,
     run_config(metrics, num_few_shot, seed).write.mode(mode).partitionBy("mode").format(fmt).save(f"{path}/config")
     predictions.write.mode(mode).partitionBy("mode").format(fmt).save(f"{path}/predictions")
     metrics.write.mode(mode).partitionBy("mode").format(fmt).save(f"{path}/metrics")
+
+
+def content_digest(columns: dict[str, str]) -> F.Column:
+    """Order-free digest of rows: the sum of 48 bits of md5 over the columns' texts, each by the SQL expression
+    given for it; NULL is a text of its own. As a string, since it grows with the rows."""
+    key = F.concat_ws("\u001f", *[F.coalesce(F.expr(e).cast("string"), F.lit("\u001e")) for e in columns.values()])
+    return F.sum(F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("decimal(38,0)")).cast("string")
+
+
+#: Columns of a stored prediction as texts that do not depend on how a number is printed.
+PREDICTION_TEXTS = {c: c for c in ("index", "db_id", "question", "gold_sql", "pred_sql")} | {
+    c: f"cast({c} as int)" for c in ("exact_match", "exec_match", "db_found")} | {
+    "pred_error": "pred_error", "generation_time_s": "cast(floor(generation_time_s * 1000) as bigint)"}
+
+
+def read_results(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """A written bundle as one row per mode: the metrics, the configuration, and count and digest of the
+    predictions. A mode that any of the three lacks is there with NULLs, so a lost part shows."""
+    def part(name: str, schema: str) -> DataFrame:
+        return spark.read.schema(schema).format(fmt).load(f"{path}/{name}")
+    predictions = part("predictions", PREDICTION_FIELDS).groupBy("mode").agg(
+        F.count("*").alias("n_predictions"), content_digest(PREDICTION_TEXTS).alias("predictions_digest"))
+    config = part("config", CONFIG_FIELDS).withColumnRenamed("total_examples", "config_examples")
+    return part("metrics", METRIC_FIELDS).join(config, "mode", "full").join(predictions, "mode", "full")
+
+
+PREDICTION_FIELDS = ("mode string, index bigint, db_id string, question string, gold_sql string, pred_sql string, exact_match boolean, "
+                     "exec_match boolean, pred_error string, generation_time_s double, db_found boolean")
+CONFIG_FIELDS = "mode string, num_few_shot int, seed int, total_examples bigint"
+METRIC_FIELDS = ("mode string, total_examples bigint, exact_match_accuracy double, execution_accuracy double, exact_match_count bigint, "
+                 "execution_match_count bigint, execution_error_count bigint, error_rate double, avg_generation_time_s double")
