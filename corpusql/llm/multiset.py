@@ -5,9 +5,9 @@ space after at most 80 characters. Every paragraph is hashed to a wide vector, a
 fingerprint is the sum of those vectors:
 
 * 8 lanes of 32 bits, summed modulo 2**32, tell multisets apart;
-* 60 lanes count the set bits of one more hash, three to a number, each modulo 2**20;
-  ``2 * count - paragraphs`` are sums of random signs, so their cosine estimates the
-  cosine of two multisets (standard error about 0.13);
+* 60 counters of the set bits of one more hash, two to a number with 32 bits each: a row's text has under
+  2**31 bytes, so no counter of a text ever reaches its neighbour. ``2 * count - paragraphs`` are sums of
+  random signs, so their cosine estimates the cosine of two multisets (standard error about 0.13);
 * the number of paragraphs.
 
 Sums make the fingerprint independent of order and let ``insert`` and ``delete`` update
@@ -15,8 +15,9 @@ it without the text. Everything is built-in functions; a fingerprint needs no sh
 
 Defined cases: null text is the empty text, whose fingerprint is zero; two empty texts
 have likeness 1, an empty and another 0; rows equal in id and text are one document,
-repeated in the result; null ids come last; the only document is its own next one;
-other columns may have any name.
+repeated in the result; null ids come last; the only document is its own next one; texts of any length
+that a row can hold are counted exactly; an empty table gives an empty result; other columns may have any name.
+``insert`` of texts with 2**32 paragraphs or more in all is beyond the counters.
 """
 
 from __future__ import annotations
@@ -28,10 +29,9 @@ from corpusql.llm.common import stored
 from corpusql.operators.positions import dense_positions
 
 PARAGRAPH = r"(?s)[^\n]{0,80}?(?:[.!?;]\s|\n)|[^\n]{0,80}\s|.{1,80}"
-WIDE, SIGNS = 4, 20
+WIDE, SIGNS = 4, 30
 LOW32 = 0xFFFFFFFF
-THREE = 1 | 1 << 20 | 1 << 40
-LOW20 = (1 << 20) - 1
+TWO = 1 | 1 << 32
 
 
 def _text(name: str) -> Column:
@@ -53,13 +53,13 @@ def with_lanes(df: DataFrame, text: str, name: str) -> DataFrame:
     for h in hashes[:WIDE]:
         lanes.append(total(h, lambda x: x.bitwiseAND(F.lit(LOW32))).bitwiseAND(F.lit(LOW32)))
         lanes.append(total(h, lambda x: F.shiftrightunsigned(x, 32)).bitwiseAND(F.lit(LOW32)))
-    lanes += [total(hashes[-1], every_20th_bit(b)) for b in range(SIGNS)]
+    lanes += [total(hashes[-1], bit_pair(b)) for b in range(SIGNS)]
     lanes.append(F.size(f"_{name}_p").cast("bigint"))
     return found.withColumn(name, F.array(*lanes)).drop(f"_{name}_p", *hashes)
 
 
-def every_20th_bit(first: int):
-    return lambda x: F.shiftrightunsigned(x, first).bitwiseAND(F.lit(THREE))
+def bit_pair(first: int):
+    return lambda x: F.shiftrightunsigned(x, first).bitwiseAND(F.lit(TWO))
 
 
 def insert(one: Column, other: Column) -> Column:
@@ -88,9 +88,9 @@ def signs(lanes: Column) -> Column:
     n = F.element_at(lanes, -1)
     packed = F.slice(lanes, 2 * WIDE + 1, SIGNS)
 
-    def third(k):
-        return lambda x: (2 * F.shiftrightunsigned(x, 20 * k).bitwiseAND(F.lit(LOW20)) - n).cast("double")
-    return F.concat(*[F.transform(packed, third(k)) for k in range(3)])
+    def half(k):
+        return lambda x: (2 * F.shiftrightunsigned(x, 32 * k).bitwiseAND(F.lit(LOW32)) - n).cast("double")
+    return F.concat(*[F.transform(packed, half(k)) for k in range(2)])
 
 
 def likeness(one: Column, other: Column) -> Column:

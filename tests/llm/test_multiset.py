@@ -1,5 +1,10 @@
 """Homomorphic fingerprints: edits, order, insertion and deletion."""
 import hashlib
+import math
+import re
+import struct
+
+import xxhash
 
 from pyspark.sql import functions as F
 
@@ -50,3 +55,46 @@ def test_one_document_and_none(spark):
     r = multiset.fingerprint_edits(table(spark, [(5, "Alone here. Really alone.", "en", "a")])).first()
     assert r.next_id == 5 and r.near_next == 1
     assert multiset.fingerprint_edits(table(spark, [])).count() == 0
+
+
+def _fingerprint(text):
+    """The lanes in plain Python."""
+    parts = PARAGRAPH.findall(text)
+    hashes = [[xxhash.xxh64_intdigest(p.encode(), xxhash.xxh64_intdigest(struct.pack("<i", j), 42)) for p in parts] for j in range(5)]
+    wide = [sum(h >> s & 0xFFFFFFFF for h in hs) & 0xFFFFFFFF for hs in hashes[:4] for s in (0, 32)]
+    counts = [sum(h >> b & 1 for h in hashes[4]) for b in range(64)]
+    signs = [2 * counts[b + s] - len(parts) for s in (0, 32) for b in range(30)]
+    return wide, len(parts), signs
+
+
+PARAGRAPH = re.compile(multiset.PARAGRAPH, re.ASCII)
+
+
+def _likeness(one, other):
+    if one == other:
+        return 1.0
+    size = math.sqrt(sum(x * x for x in one)) * math.sqrt(sum(x * x for x in other))
+    return max(0.0, min(1.0, sum(x * y for x, y in zip(one, other)) / size)) if size else 0.0
+
+
+def test_lanes_and_likeness_in_plain_python(spark):
+    rows = [(i, t) for i, t, _, _ in edge_rows() if i is not None and i != 7]
+    texts = [t or "" for _, t in sorted(rows)]
+    got = multiset.fingerprint_edits(table(spark, [(i, t, "en", "a") for i, t in rows])).orderBy("doc_id").collect()
+    lanes = [r.lanes for r in multiset.document_fingerprints(table(spark, [(i, t, "en", "a") for i, t in rows])).orderBy("doc_id").collect()]
+    for k, r in enumerate(got):
+        wide, n, signs = _fingerprint(texts[k])
+        assert (lanes[k][:8], lanes[k][-1]) == (wide, n)
+        head = texts[(k + 1) % len(texts)]
+        q = len(texts[k]) // 4
+        edited = _fingerprint(texts[k][:len(texts[k]) - q] + head[:q])
+        assert r.edited_fingerprint.startswith("".join(f"{x:08x}" for x in edited[0])) and r.edited_fingerprint.endswith(f"{edited[1]:016x}")
+        assert abs(r.near_edited - _likeness(signs, edited[2])) < 1e-9
+        assert abs(r.near_next - _likeness(signs, _fingerprint(head)[2])) < 1e-9
+
+
+def test_a_million_equal_lines(spark):
+    """Counters of a very long text stay apart: it points where a short one of the same lines does."""
+    rows = [(1, "a\n" * (1 << 20), "en", "a"), (2, "a\n" * 1000 + "b\n", "en", "a")]
+    got = {r.doc_id: r for r in multiset.fingerprint_edits(table(spark, rows)).collect()}
+    assert got[1].near_next > 0.99 and got[2].near_next > 0.99
