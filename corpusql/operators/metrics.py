@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusql.functions.sqltext import execution_text
 from corpusql.operators.matching import exact_match, extract_predictions
+from corpusql.operators.queryshape import query_shapes
 from corpusql.session import stored
 
 #: Parts that a selection cuts an interval into, and how many values it orders in one task at last.
@@ -135,39 +137,37 @@ def failure_sample(predictions: DataFrame, n: int = 10) -> DataFrame:
         "exact_match", "exec_match", "n_failures")
 
 
-def _tables_of(sql):
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(
-        F.lower(sql), F.lit(r"(?:from|join)\s+([a-z_][a-z0-9_]*)"), 1)))
-
-
-def _aggs_of(sql):
-    return F.array_sort(F.regexp_extract_all(
-        F.upper(sql), F.lit(r"\b(COUNT|SUM|AVG|MIN|MAX)\s*\("), 1))
-
-
-def _join_count(sql):
-    return F.size(F.regexp_extract_all(F.upper(sql), F.lit(r"\bJOIN\b"), 0))
-
-
-def error_category(gold="gold_sql", pred="pred_sql") -> F.Column:
-    """Rule chain (first hit wins) over the six fixed category names. A missing database is
-    no error of the prediction, so its text alone decides."""
+def error_category() -> F.Column:
+    """Rule chain (first hit wins) over the six fixed category names, from the verdicts and the shapes of both
+    texts (``gold_`` and ``pred_`` with ``tables``, ``joins``, ``aggregates``). A missing database is
+    no error of the prediction, so its text alone decides; a text that is no query has an empty shape."""
     err = F.when(F.col("db_found"), F.col("pred_error"))
+
+    def differ(name: str, empty) -> F.Column:
+        return F.coalesce(f"gold_{name}", empty) != F.coalesce(f"pred_{name}", empty)
+    none = F.array().cast("array<string>")
     return (F.when(err.rlike("UNRESOLVED_COLUMN|TABLE_OR_VIEW_NOT_FOUND"), F.lit("schema_misunderstanding"))
             .when(err.isNotNull(), F.lit("invalid_sql"))
             .when(F.col("exec_match") & ~F.col("exact_match"), F.lit("false_negative_exact_match"))
             .when(~F.col("db_found") & F.col("exact_match"), F.lit("other"))
-            .when((_join_count(gold) != _join_count(pred)) | (_tables_of(gold) != _tables_of(pred)),
-                  F.lit("wrong_join"))
-            .when(_aggs_of(gold) != _aggs_of(pred), F.lit("wrong_aggregation"))
+            .when(differ("joins", F.lit(0)) | differ("tables", none), F.lit("wrong_join"))
+            .when(differ("aggregates", none), F.lit("wrong_aggregation"))
             .otherwise(F.lit("other")))
 
 
 def error_buckets(predictions: DataFrame, per_bucket: int = 2) -> DataFrame:
     """Failures (not both matches) per (mode, category): count and the first
-    ``per_bucket`` example indices."""
-    fails = (predictions.where(~(F.col("exact_match") & F.col("exec_match")))
-             .withColumn("category", error_category()))
+    ``per_bucket`` example indices. Tables, joins and aggregates are read from the parsed texts, each
+    different one parsed once."""
+    fails = predictions.where(~(F.col("exact_match") & F.col("exec_match"))).select(
+        "mode", "index", "db_found", "pred_error", "exact_match", "exec_match",
+        execution_text("gold_sql").alias("gold_text"), execution_text("pred_sql").alias("pred_text"))
+    fails = stored(fails, "failures")
+    shapes = query_shapes(fails.select(F.col("gold_text").alias("sql")).union(fails.select("pred_text")))
+    for side in ("gold", "pred"):
+        named = shapes.select(F.col("sql").alias(f"{side}_text"), *(F.col(c).alias(f"{side}_{c}") for c in ("tables", "joins", "aggregates")))
+        fails = fails.join(named, f"{side}_text", "left")
+    fails = stored(fails.select("mode", "index", error_category().alias("category")), "categories")
     counts = fails.groupBy("mode", "category").agg(F.count("*").alias("n_examples"))
     w = Window.partitionBy("mode", "category").orderBy("index")
     reps = (fails.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_bucket)

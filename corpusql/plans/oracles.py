@@ -351,7 +351,7 @@ scored AS (
          {KEY.replace('doc_id', 'te.pos')} AS k, te.db_id NOT LIKE '%3' AS db_found
   FROM test te JOIN extracted e ON e."index" = te.pos JOIN responses r ON r.pos = te.pos),
 records AS (
-  SELECT 'zero-shot' AS mode, "index", db_id, gold_sql, pred_sql,
+  SELECT 'zero-shot' AS mode, "index", k, db_id, gold_sql, pred_sql,
          coalesce({normalize('gold_sql')} = {normalize('pred_sql')}, false) AS exact_match,
          NOT db_found OR k % 6 IN {FAILING_SHAPES} OR k % 10 IN {FAILING_VARIANTS} AS pred_failed,
          k % 10 = 5 AND k % 6 NOT IN {FAILING_SHAPES} AS bad_name,
@@ -365,18 +365,20 @@ def _word_list(x: str, pattern: str, case: str) -> str:
 
 
 def _error_buckets_sql() -> str:
+    """Shapes of fixture texts by patterns, which these texts allow; a text that is no query has an empty one."""
     tables = lambda x: f"list_sort(list_distinct({_word_list(x, '(?:from|join)[ ]+([a-z_][a-z0-9_]*)', 'lower')}))"
     joins = lambda x: f"len(regexp_extract_all(upper({x}), '\\bJOIN\\b'))"
     aggs = lambda x: _word_list(x, r"\b(COUNT|SUM|AVG|MIN|MAX)\s*\(", "upper")
     return _records_cte() + f""",
+read AS (SELECT *, CASE WHEN k % 6 IN {FAILING_SHAPES} OR k % 10 = 8 THEN '' ELSE pred_sql END AS pred FROM records),
 named AS (
   SELECT mode, "index", CASE WHEN db_found AND pred_failed AND bad_name THEN 'schema_misunderstanding'
          WHEN db_found AND pred_failed THEN 'invalid_sql'
          WHEN exec_match AND NOT exact_match THEN 'false_negative_exact_match'
          WHEN NOT db_found AND exact_match THEN 'other'
-         WHEN {joins('gold_sql')} <> {joins('pred_sql')} OR {tables('gold_sql')} <> {tables('pred_sql')} THEN 'wrong_join'
-         WHEN {aggs('gold_sql')} <> {aggs('pred_sql')} THEN 'wrong_aggregation' ELSE 'other' END AS category
-  FROM records WHERE NOT (exact_match AND exec_match))
+         WHEN {joins('gold_sql')} <> {joins('pred')} OR {tables('gold_sql')} <> {tables('pred')} THEN 'wrong_join'
+         WHEN {aggs('gold_sql')} <> {aggs('pred')} THEN 'wrong_aggregation' ELSE 'other' END AS category
+  FROM read WHERE NOT (exact_match AND exec_match))
 SELECT mode, category, count(*) AS n_examples, list_sort(list("index"))[1:2] AS examples FROM named GROUP BY mode, category"""
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,9 +53,40 @@ def shared_root(spark: SparkSession) -> str:
     return (root or sc.getCheckpointDir()).rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
+def owned(path: str) -> str:
+    """``path``, to be removed with the innermost open ``scratch_scope``."""
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Owns the scratch tables made within: they are removed when the scope ends, so a result must be
+    consumed in it. Scopes nest, an inner one removes its own. Without any, tables stay, as results are read from
+    them lazily.
+
+        with scratch_scope(spark):
+            query(spark, sf_dir).write.parquet(target)
+    """
+    mine: list[str] = []
+    _scopes.append(mine)
+    try:
+        yield
+    finally:
+        _scopes[:] = [x for x in _scopes if x is not mine]
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for name in mine:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique location under the shared folder."""
-    return f"{shared_root(spark)}/corpusql/{name}-{uuid.uuid4().hex}"
+    """A fresh, unique location under the shared folder, removed with the scope that is open."""
+    return owned(f"{shared_root(spark)}/corpusql/{name}-{uuid.uuid4().hex}")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
