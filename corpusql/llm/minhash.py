@@ -14,10 +14,13 @@ band are verified on their full sets, but never all pairs of a bucket:
 
 1. the first set of each bucket is compared with every other one (stars), and the linked ones
    form components;
-2. buckets that still hold several components have the pairs left that could join two of
-   them. Small ones give these pairs directly. In large ones (``PAIRS_UP_TO``) two sets are only compared if
+2. in large buckets (over ``PAIRS_UP_TO`` sets) with several components the sets outside the largest
+   one are compared with ``CENTERS`` sets of it, which joins nearly all of a family of near copies;
+3. buckets that still hold several components have the pairs left that could join two of
+   them. Small ones give these pairs directly. In large ones two sets are only compared if
    they share one of their rarest shingles: two sets of similarity J share one of the
-   ``size - ceil(J size) + 1`` rarest of each, whatever the order, so nothing is lost.
+   ``size - ceil(J size) + 1`` rarest of each, whatever the order, and behind the first one both sets must be
+   long enough for that similarity, so nothing is lost.
 
 Pairs whose sizes rule the similarity out are dropped before their texts are fetched.
 
@@ -36,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard as zstd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusql.llm.common import joined_words, lean, pieces, span_hashes, stored, words
@@ -45,6 +48,7 @@ from corpusql.llm.simhash import components
 WIDTH, LEAST = 2, 80
 COORDINATES, ROWS = 128, 4
 PAIRS_UP_TO = 48
+CENTERS = 16
 
 
 # --- sets and signatures ------------------------------------------------------------------
@@ -210,9 +214,32 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     return rows.join(sizes, "bucket").select("bucket", "node", "first", "members")
 
 
+def _open_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(bucket, node, members, label)`` of the buckets with several components, without their first nodes: those are
+    compared with all others."""
+    named = (shared.join(labels, "node", "left")
+             .select("bucket", "node", "first", "members", F.coalesce("label", "node").alias("label")))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return named.join(mixed, "bucket", "left_semi").where("node != first").select("bucket", "node", "members", "label")
+
+
+def center_pairs(crowd: DataFrame) -> DataFrame:
+    """``(a, b)``: every node of a crowded bucket against ``CENTERS`` nodes of the component that is largest
+    there, if it is in another. The nodes that are in most crowded buckets are nearest to what a family has in
+    common, so they are the ones that its outer members link with."""
+    sizes = crowd.groupBy("bucket", "label").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+    aside = (crowd.join(largest, "bucket").where(F.col("label") != F.col("main"))
+             .select("node", F.col("main").alias("label")).distinct())
+    order = Window.partitionBy("label").orderBy(F.desc("places"), F.xxhash64("node"), "node")
+    centers = (crowd.groupBy("label", "node").agg(F.count("*").alias("places")).join(largest.select(F.col("main").alias("label")).distinct(), "label")
+               .withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= CENTERS).select("label", F.col("node").alias("center")))
+    return aside.join(centers, "label").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
+
+
 def _rare_shingles(crowd: DataFrame, table: DataFrame, nodes: DataFrame, width: int, least: int) -> DataFrame:
-    """``(bucket, shingle, node, label)``: the rarest shingles, in number as many as two linked sets must
-    share one of, of every node of a crowded bucket."""
+    """``(node, label, buckets, n, shingle, pos)``: the rarest shingles, in number as many as two linked sets must
+    share one of, of every node of a crowded bucket, and their places in that order."""
     def shingles(batches):
         for batch in batches:
             names = batch.column(0).to_numpy()
@@ -222,40 +249,37 @@ def _rare_shingles(crowd: DataFrame, table: DataFrame, nodes: DataFrame, width:
                 for i in range(0, len(hashes), 1 << 16):
                     some = hashes[i:i + (1 << 16)].view(np.int64)
                     yield pa.record_batch([pa.array(np.full(len(some), names[k])), pa.array(some)], ["node", "shingle"])
-    wanted = crowd.select("node").distinct()
-    each = stored(_texts(table, nodes, wanted).mapInArrow(lean(shingles), "node bigint, shingle bigint"), "minhash-shingles")
-    ranked = each.join(each.groupBy("shingle").agg(F.count("*").alias("seen")).where("seen > 1"), "shingle", "left")
-    # a shingle of one set only is the rarest and joins nothing, so only its number counts
-    alone = ranked.where("seen IS NULL").groupBy("node").agg(F.count("*").alias("alone"))
-    prefix = nodes.join(wanted, "node", "left_semi").join(alone, "node", "left").select(
-        "node", (F.col("n") - F.ceil(F.col("n") * least / 100) + 1 - F.coalesce("alone", F.lit(0))).alias("take")).where("take > 0")
-    # the ``take`` rarest by histogram over what a shingle is seen, then by the shingle itself
-    order = F.struct("seen", "shingle")
-    taken = (ranked.where("seen IS NOT NULL").join(prefix, "node").groupBy("node", "take")
-             .agg(F.array_sort(F.collect_list(order)).alias("all"))
-             .select("node", F.explode(F.expr("slice(all, 1, int(take))")).alias("x")))
-    return crowd.join(taken, "node").select("bucket", F.col("x.shingle").alias("shingle"), "node", "label")
-
-
-def remaining_pairs(shared: DataFrame, labels: DataFrame, table: DataFrame, nodes: DataFrame,
-                    width: int = WIDTH, least: int = LEAST) -> DataFrame:
-    """``(a, b)``: pairs of a bucket whose components differ, but for those of its first node, which
-    are compared already."""
-    named = (shared.join(labels, "node", "left")
-             .select("bucket", "node", "first", "members", F.coalesce("label", "node").alias("label")))
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    left = stored(named.join(mixed, "bucket", "left_semi").where("node != first").select("bucket", "node", "members", "label"),
-                  "minhash-open")
+    own = crowd.groupBy("node", "label").agg(F.collect_set("bucket").alias("buckets")).join(nodes.select("node", "n"), "node")
+    own = stored(own, "minhash-crowd")
+    each = stored(_texts(table, nodes, own.select("node")).mapInArrow(lean(shingles), "node bigint, shingle bigint"), "minhash-shingles")
+    ranked = each.join(each.groupBy("shingle").agg(F.count("*").alias("seen")).where("seen > 1"), "shingle")
+    # a shingle of one set only is the rarest and joins nothing, so only the number of those counts
+    shared = ranked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("seen", "shingle"))).alias("all"))
+    alone = F.col("n") - F.size("all")
+    take = F.col("n") - F.ceil(F.col("n") * least / 100) + 1 - alone
+    return (own.join(shared, "node").withColumn("alone", alone).withColumn("take", take).where("take > 0")
+            .select("node", "label", "buckets", "n", "alone", F.posexplode(F.expr("slice(all, 1, int(take))")).alias("i", "x"))
+            .select("node", "label", "buckets", "n", "x.shingle", (F.col("alone") + F.col("i")).alias("pos")))
+
+
+def remaining_pairs(left: DataFrame, table: DataFrame, nodes: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
+    """``(a, b)``: the pairs of open buckets whose components differ."""
     few = left.where(F.col("members") <= PAIRS_UP_TO).groupBy("bucket").agg(F.collect_list(F.struct("label", "node")).alias("them"))
     pairs = (few.select("them", F.explode("them").alias("a")).select("a", F.explode("them").alias("b"))
              .where((F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")))
              .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
-    crowd = left.where(F.col("members") > PAIRS_UP_TO).select("bucket", "node", "label")
+    crowd = left.where(F.col("members") > PAIRS_UP_TO)
     if crowd.limit(1).count():
         rare = stored(_rare_shingles(crowd, table, nodes, width, least), "minhash-rare")
-        one, other = (rare.select("bucket", "shingle", F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in "ab")
-        pairs = pairs.unionByName(one.join(other, ["bucket", "shingle"])
-                                  .where((F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label"))).select("a", "b"))
+        one, other = (rare.select("shingle", F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("label", "buckets", "n", "pos")))
+                      for c in "ab")
+        size = F.col("a_n") + F.col("b_n")
+        # what two sets can share from their first common shingle on; a linked pair passes there
+        most = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
+        met = one.join(other, (one["shingle"] == other["shingle"]) & (F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label"))
+                       & ((100 + least) * most >= least * size)
+                       & (100 * F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n")) & F.arrays_overlap("a_buckets", "b_buckets"))
+        pairs = pairs.unionByName(met.select("a", "b"))
     return pairs.distinct()
 
 
@@ -269,10 +293,23 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: int = LEAST, id_
     stars = shared.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = stored(verified(stars, table, nodes, width, least), "minhash-links")
     found = components(names, links)
-    labels = found.select(F.col("fp").alias("node"), F.col("at").alias("label"))
-    more = stored(verified(remaining_pairs(shared, labels, table, nodes, width, least), table, nodes, width, least), "minhash-links")
-    if more.limit(1).count():
-        found = components(names, links.unionByName(more))
+
+    def opened() -> DataFrame:
+        return stored(_open_buckets(shared, found.select(F.col("fp").alias("node"), F.col("at").alias("label"))), "minhash-open")
+
+    def linked(pairs: DataFrame) -> bool:
+        nonlocal links, found
+        more = stored(verified(pairs, table, nodes, width, least), "minhash-links")
+        if not more.limit(1).count():
+            return False
+        links = links.unionByName(more)
+        found = components(names, links)
+        return True
+    left = opened()
+    crowd = left.where(F.col("members") > PAIRS_UP_TO)
+    if crowd.limit(1).count() and linked(center_pairs(crowd)):
+        left = opened()
+    linked(remaining_pairs(left, table, nodes, width, least))
     named = nodes.join(found.select(F.col("fp").alias("node"), "least", F.lit(True).alias("linked")), "node", "left").select(
         "key", F.when(F.col("linked"), F.col("least")).otherwise(F.col("doc")).alias("component_id"))
     rows = table.select("doc_id", F.col("n").alias("n_shingles"), "key")
