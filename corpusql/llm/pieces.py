@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Texts are cut into words where no piece can cross: before white space and around the
-characters that no longer piece holds. Every different word becomes a lattice: its
+Texts are cut into words where no piece can cross: between two characters that stand side by
+side in no piece, such as a letter and the white space behind it. Every different word becomes a lattice: its
 substrings up to the longest piece are exploded, an equi-join with the piece table (a
 vocabulary file, so bounded, and broadcast) keeps the edges, and the edges of a word
 are grouped and folded with Spark's higher-order ``aggregate``:
@@ -30,7 +30,6 @@ the library); repeated rows are encoded alike; other columns may have any name.
 from __future__ import annotations
 
 import heapq
-import re
 import struct
 from collections import Counter
 from dataclasses import dataclass, field
@@ -47,7 +46,7 @@ from corpusql.llm.common import by_batch, lean, parts_for
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONGEST = 60
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 UNIGRAM, BPE = 1, 2
 
 
@@ -144,19 +143,37 @@ class Model:
     def longest(self) -> int:
         return max(map(len, self.table))
 
-    def cutter(self) -> re.Pattern:
+    def cutter(self) -> Cutter:
         """Words of an escaped text: a piece never reaches from one into another."""
-        inner = {c for p in self.table if len(p) > 1 for c in p}
-        single = "".join(re.escape(c) for c in "\n\t\r" if c not in inner)
-        crossing = any(SPACE in p.lstrip(SPACE) for p in self.table)
-        if crossing:
-            return re.compile(rf"[^{single}]+|[{single}]" if single else r"(?s).+")
-        return re.compile(rf"{SPACE}*[^{SPACE}{single}]+|{SPACE}+|[{single}]" if single else rf"(?s){SPACE}*[^{SPACE}]+|{SPACE}+")
+        return Cutter([p for p in self.table if len(p) > 1])
 
     def escape(self, text: str | None) -> str:
         return (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE) if text else ""
 
 
+class Cutter:
+    """Cuts a text between any two characters that stand side by side in no piece: no piece reaches across, and
+    neither a merge nor a path does. Long stretches without spaces are cut as well as words."""
+
+    def __init__(self, pieces: list[str]):
+        codes = sorted({ord(c) for p in pieces for c in p})
+        self.kinds = np.zeros(0x110000, np.uint16)
+        self.kinds[codes] = np.arange(1, len(codes) + 1)
+        self.together = np.zeros((len(codes) + 1, len(codes) + 1), bool)
+        for p in pieces:
+            kinds = self.kinds[[ord(c) for c in p]]
+            self.together[kinds[:-1], kinds[1:]] = True
+
+    def findall(self, text: str) -> list[str]:
+        if not text:
+            return []
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        kinds = self.kinds[codes]
+        apart = ~self.together[kinds[:-1], kinds[1:]] & (codes[:-1] != ord(SPACE))     # a word keeps its space
+        cuts = (np.flatnonzero(apart) + 1).tolist()
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+
+
 # --- long words, one at a time ---------------------------------------------------------
 
 def encode_word(word: str, model: Model) -> list[int]:
@@ -257,7 +274,7 @@ def merge_fold(word: Column, edges: str) -> Column:
         inside = borders.bitwiseAND(_bit(end) - _bit(start + 1))
         taken = (end - start > 1) & (borders.bitwiseAND(ends) == ends) & (F.bit_count(inside) == 1)
         return F.when(taken, borders.bitwiseXOR(inside)).otherwise(borders)
-    return F.aggregate(F.array_sort(edges), _bit(F.length(word) + 1) - F.lit(1), step)
+    return F.aggregate(F.sort_array(edges), _bit(F.length(word) + 1) - F.lit(1), step)
 
 
 def viterbi_fold(word: Column, edges: str, unknown: float) -> Column:
@@ -276,6 +293,18 @@ def viterbi_fold(word: Column, edges: str, unknown: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(word)), state, step, lambda s: F.element_at(s, -1)["borders"])
 
 
+def fitting(model: Model):
+    """Whether the lattice answers a word, as ``fold_words`` asks in Spark: with a single character or without
+    any edge there is nothing to fold."""
+    tied, table, longest = model.tied, model.table, model.longest
+    least = 2 if model.kind == BPE else 1
+
+    def fits(word: str) -> bool:
+        return (least <= len(word) <= LONGEST and max(word) < "\U00010000" and not any(p in word for p in tied)
+                and any(word[i:j] in table for i in range(len(word)) for j in range(i + least, min(len(word), i + longest) + 1)))
+    return fits
+
+
 def fold_words(words: DataFrame, model: Model, by: list[str]) -> DataFrame:
     """``(*by, ids)`` of the words that the lattice is for: up to ``LONGEST`` characters of the
     basic plane, no pieces of equal score, and at least one edge. ``encode_word`` is for the
@@ -288,27 +317,35 @@ def fold_words(words: DataFrame, model: Model, by: list[str]) -> DataFrame:
         fold, code_of = merge_fold(F.col("word"), "edges"), lambda e: e
     else:
         fold, code_of = viterbi_fold(F.col("word"), "edges", model.unknown), lambda e: e["code"]
-    cut = found.withColumn("borders", fold).withColumn("cuts", F.filter(
-        F.sequence(F.lit(0), F.length("word")), lambda i: F.call_function("getbit", F.col("borders"), i) == 1))
-    spans = F.transform(F.slice("cuts", 1, F.size("cuts") - 1), lambda a, k: F.struct(
-        a.alias("start"), F.element_at("cuts", k + 2).alias("end")))
-    by_bytes = F.array(*map(F.lit, model.byte_ids))
-    single = np.full(1 << 16, -1, np.int32)
+    by_bytes = F.split(F.lit(",".join(map(str, model.byte_ids))), ",").cast("array<int>")
+    single = np.full(1 << 16, -1)
     for piece, (i, _) in model.table.items():
         if len(piece) == 1 and ord(piece) < len(single):
             single[ord(piece)] = i
-    by_letter = F.lit(single)
-
-    def ids(span):
-        edge = F.get(F.filter("edges", lambda e: (_start(code_of(e)) == span["start"]) & (_end(code_of(e)) == span["end"])), F.lit(0))
-        text = F.substring(F.col("word"), span["start"] + 1, span["end"] - span["start"])
-        alone = F.element_at(by_letter, F.ascii(text) + 1)
-        letter = F.hex(F.encode(text, "UTF-8"))
-        fallback = F.transform(F.sequence(F.lit(0), (F.length(letter) / 2).cast("int") - 1), lambda b: F.element_at(
-            by_bytes, F.conv(F.substring(letter, b * 2 + 1, F.lit(2)), 16, 10).cast("int") + 1))
-        return F.when(edge.isNotNull(), F.array(code_of(edge).bitwiseAND(F.lit((1 << 24) - 1)).cast("int"))).when(
-            (span["end"] - span["start"] == 1) & (alone >= 0), F.array(alone)).otherwise(fallback)
-    return cut.select(*by, F.flatten(F.transform(spans, ids)).alias("ids"))
+    by_letter = F.split(F.lit(",".join(map(str, single))), ",").cast("array<int>")   # one literal when planned
+
+    def alone(i):
+        letter = F.substring(F.col("word"), i + 1, F.lit(1))
+        known = F.element_at(by_letter, F.ascii(letter) + 1)
+        digits = F.hex(F.encode(letter, "UTF-8"))
+        fallback = F.transform(F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1), lambda b: F.element_at(
+            by_bytes, F.conv(F.substring(digits, b * 2 + 1, F.lit(2)), 16, 10).cast("int") + 1))
+        return F.struct(i.alias("start"), F.when(known >= 0, F.array(known)).otherwise(fallback).alias("ids"))
+
+    def segments(borders):
+        """The edges whose ends are borders and that hold no other border, and the characters between two borders."""
+        def whole(e):
+            start, end = _start(code_of(e)), _end(code_of(e))
+            return (end - start > 1) & (borders.bitwiseAND(_bit(end + 1) - _bit(start)) == _bit(start).bitwiseOR(_bit(end)))
+        long = F.transform(F.filter("edges", whole), lambda e: F.struct(
+            _start(code_of(e)).alias("start"), F.array(code_of(e).bitwiseAND(F.lit((1 << 24) - 1)).cast("int")).alias("ids")))
+        pair = F.lit(3).cast("bigint")
+        short = F.filter(F.sequence(F.lit(0), F.length("word") - 1),
+                         lambda i: F.call_function("shiftright", borders, i).bitwiseAND(pair) == pair)
+        return F.flatten(F.transform(F.sort_array(F.concat(long, F.transform(short, alone))), lambda x: x["ids"]))
+    # bound, or the fold would run again for every character
+    ids = F.element_at(F.transform(F.array(fold), segments), 1)
+    return found.select(*by, ids.alias("ids"))
 
 
 # --- documents -----------------------------------------------------------------------------
@@ -328,7 +365,7 @@ def _blocks(batches, model: Model):
         yield f"{part}-{n}", held
 
 
-def _words_of(column: pa.Array, model: Model, cut: re.Pattern):
+def _words_of(column: pa.Array, model: Model, cut: Cutter):
     for text in column.to_pylist():
         yield cut.findall(model.escape(text))
 
@@ -337,7 +374,7 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """``(doc_id, ids array<int>)`` per row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    cut = model.cutter()
+    cut, fits, least = model.cutter(), fitting(model), 2 if model.kind == BPE else 1
 
     def ask(batches):
         for name, held in _blocks(batches, model):
@@ -345,7 +382,7 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for batch in held:
                 for words in _words_of(batch.column(1), model, cut):
                     seen.update(words)
-            own = list(seen)
+            own = [w for w in seen if least <= len(w) <= LONGEST]
             for i in range(0, len(own), 50_000):
                 some = own[i:i + 50_000]
                 yield pa.record_batch([pa.array([name] * len(some)), pa.array(some)], ["block", "word"])
@@ -359,24 +396,34 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.record_batch([pa.array([name]), pa.array([zstd.compress(sink.getvalue(), 1)], pa.binary())], ["block", "content"])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = dict(zip(right.column("word").to_pylist(), _slices(right.column("ids"))))
+        # one flat array of all words' ids; a word is its number in it
+        number = {word: k for k, word in enumerate(right.column("word").to_pylist())}
+        flat, starts, sizes = _flat(right.column("ids"))
+        more: list[list[int]] = []           # of words that are not for the lattice
         out = []
         for content in left.column("content"):
             with pa.ipc.open_stream(zstd.decompress(content.as_py())) as stream:
                 for batch in stream:
-                    parts, sizes = [], []
+                    told, ends = [], []
                     for words in _words_of(batch.column(1), model, cut):
-                        n = 0
                         for word in words:
-                            ids = known.get(word)
-                            if ids is None:      # not for the lattice, or a recomputed block differs
-                                ids = known[word] = np.array(encode_word(word, model), np.int32)
-                            parts.append(ids)
-                            n += len(ids)
-                        sizes.append(n)
-                    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-                    offsets = np.append(0, np.cumsum(np.array(sizes, np.int64))).astype(np.int32)
-                    out.append(pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                            if word not in number:
+                                if fits(word):
+                                    raise RuntimeError(f"the lattice has lost a word of {len(word)} characters")
+                                more.append(encode_word(word, model))
+                                number[word] = len(sizes) + len(more) - 1
+                        told += [number[word] for word in words]
+                        ends.append(len(told))
+                    if more:
+                        added = np.array([len(ids) for ids in more], np.int64)
+                        starts = np.append(starts, len(flat) + np.cumsum(added) - added)
+                        sizes, flat = np.append(sizes, added), np.append(flat, np.array([i for ids in more for i in ids], np.int32))
+                        more = []
+                    told = np.array(told, np.int64)
+                    n = sizes[told]
+                    ids = flat[np.repeat(starts[told] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                    offsets = np.append(0, np.cumsum(n))[np.append(0, ends).astype(np.int64)].astype(np.int32)
+                    out.append(pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))],
                                                ["doc_id", "ids"]))
         return pa.Table.from_batches(out)
     # words and texts are shuffled once, by block; lattice, fold and encoding follow in place
@@ -387,6 +434,15 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return carried.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, f"doc_id {kind}, ids array<int>")
 
 
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All values of a list column, and where each list starts and how long it is."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False), offsets[:-1], np.diff(offsets)
+
+
 def _slices(column: pa.ChunkedArray) -> list[np.ndarray]:
     out = []
     for chunk in column.chunks:

@@ -1,4 +1,5 @@
 """SentencePiece against the library."""
+import pytest
 import sentencepiece
 from corpusql.llm import pieces
 
@@ -109,3 +110,31 @@ def test_lattice_and_heap_agree(spark):
 
 def test_no_documents(spark):
     assert pieces.encode_documents(table(spark, [])).count() == 0
+
+
+def test_cuts_lose_nothing():
+    """Encoding between the cuts is the library's encoding, with long stretches without spaces too."""
+    model = pieces.Model.load(pieces.MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    cut = model.cutter()
+    for text in [*TEXTS, "日本語と한국어と中文の長い文章で空白がない" * 40, "x=1;y=[2,3];" * 50, "no,spaces,at,all;just.punctuation/and\\slashes" * 9]:
+        words = cut.findall(model.escape(text))
+        assert "".join(words) == model.escape(text)
+        assert [i for w in words for i in pieces.encode_word(w, model)] == library.encode(text)
+    assert max(map(len, cut.findall("日本語と한국어と中文の長い文章で空白がない" * 40))) < pieces.LONGEST
+
+
+def test_the_fold_runs_once_a_word(spark):
+    """The merge fold is bound: no second copy of it inside a lambda of the plan."""
+    model = pieces.Model.load(pieces.MODEL)
+    df = spark.createDataFrame([("▁the",)], "word string")
+    plan = pieces.fold_words(df, model, ["word"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(sort_array") == 1
+
+
+def test_a_word_that_the_lattice_loses_raises(spark, monkeypatch):
+    model = pieces.Model.load(pieces.MODEL)
+    whole = pieces.fold_words
+    monkeypatch.setattr(pieces, "fold_words", lambda *a: whole(*a).where("word != '▁world'"))
+    with pytest.raises(Exception, match="lost a word"):
+        pieces.encode(table(spark, [(1, "hello world", "en", "a")]), model).collect()
