@@ -83,3 +83,70 @@ def test_no_labels_and_no_documents(spark):
     kept = quality.keep_good(table(spark, rows), none).collect()
     assert sorted(str(r.doc_id) for r in kept) == sorted(str(r[0]) for r in rows if r[1])
     assert quality.classify(table(spark, []), none).count() == 0
+
+
+def _brute_logs(texts):
+    """Natural log of a code point's probability after the three before it, from nested counters of tuples."""
+    def grams(text):
+        padded = "\n" * 3 + text
+        return [padded[i:i + 4] for i in range(len(text))]
+    tables = {4: Counter(g for t in texts for g in grams(t))}
+    for n in (3, 2, 1):
+        tables[n] = Counter(g[1:] for g in tables[n + 1])
+    below = None
+    for n in range(1, 5):
+        of = Counter(tables[n].values())
+        n1, n2, n3, n4 = (of.get(i, 0) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 else 0.5
+        d = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 0.75, 3 - 4 * y * n4 / n3 if n3 else 0.9]
+        d = [min(max(x, 0.1), k + 0.9) for k, x in enumerate(d)]
+        total, freed = Counter(), defaultdict(float)
+        for g, c in tables[n].items():
+            total[g[:-1]] += c
+            freed[g[:-1]] += d[min(c, 3) - 1]
+
+        def p(g, n=n, d=d, total=total, freed=freed, lower=below):
+            rest = lower(g[1:]) if lower else 1 / (len(tables[1]) + 1)
+            if g[:-1] not in total:
+                return rest
+            c = tables[n].get(g, 0)
+            return ((c - d[min(c, 3) - 1] if c else 0) + freed[g[:-1]] * rest) / total[g[:-1]]
+        below = p
+    usual = sum(c * math.log(below(g)) for g, c in tables[4].items()) / sum(tables[4].values())
+
+    def perplexity(text):
+        logs = sum(math.log(below(g)) for g in grams(text))
+        return math.exp(-(logs + quality.PRIOR * usual) / (len(text) + quality.PRIOR))
+    return perplexity
+
+
+def test_perplexity_of_code_points_against_nested_counters(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 64)
+    good = ["the cat sat on the mat.\nthe dog sat.", "кот сидел на окне, пёс лежал у двери", "猫が窓に座っていた。犬は寝ていた。", "abab abab 😀 abab"]
+    rows = [(i, t, "en", "a") for i, t in enumerate([*good, "unseen WORDS zq!", "окно двери кот", "x", "", None, good[1]])]
+    labels = spark.createDataFrame([(i, 1) for i in range(4)], "doc_id bigint, quality int")
+    got = {r.doc_id: r.perplexity for r in quality.classify(table(spark, rows).repartition(3), labels).collect()}
+    brute = _brute_logs(good)
+    assert len(got) == len(rows)
+    for i, text, *_ in rows:
+        assert math.isclose(got[i], brute(text), rel_tol=1e-5) if text else got[i] is None
+
+
+def test_shuffled_letters_of_another_script_are_rejected(spark):
+    words = "кот сидел на окне а пёс лежал у двери и ждал когда вернётся хозяин с прогулки по саду".split()
+    good = [(i, " ".join(words[(i * k + k) % len(words)] for k in range(60)), "ru", "a") for i in range(40)]
+    rng = np.random.default_rng(1)
+    letters = [c for c in "абвгдежзиклмнопрстуфхцчшщ"]
+    bad = [(100 + i, " ".join("".join(rng.choice(letters, 5)) for _ in range(60)), "ru", "a") for i in range(5)]
+    labels = spark.createDataFrame([(r[0], 1) for r in good], "doc_id bigint, quality int")
+    keep = {r.doc_id: r.keep for r in quality.classify(table(spark, good + bad), labels).collect()}
+    assert not any(keep[r[0]] for r in bad) and sum(keep[r[0]] for r in good) >= 38
+
+
+def test_the_model_stays_out_of_the_driver(spark, monkeypatch):
+    """Only counts of counts, of which there are four an order, are collected."""
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", lambda self: (_ for _ in ()).throw(AssertionError("collected")))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda *a: (_ for _ in ()).throw(AssertionError("broadcast")))
+    good, bad = _documents()
+    labels = spark.createDataFrame([(r[0], 1) for r in good], "doc_id bigint, quality int")
+    assert quality.classify(table(spark, good + bad), labels).where("keep").count() >= 0.95 * len(good)
