@@ -33,6 +33,7 @@ _STEP[[CLOSE, 0x5D]] = -1
 _BETWEEN = np.zeros(256, bool)
 _BETWEEN[[0x20, 0x09, 0x0A, 0x0D, COMMA, 0x5B, 0x5D]] = True
 MARK = b"\xef\xbb\xbf"
+RUN_BYTES = 1 << 20           # that are scanned at once, unless a chunk is longer
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -42,7 +43,8 @@ def _chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _runs(batches) -> Iterator[tuple[tuple, int, np.ndarray]]:
-    """((file, start), row, bytes) of the consecutive chunks of a range in a batch, the separators put back."""
+    """((file, start), row, bytes) of consecutive chunks of a range in a batch, the separators put back; about ``RUN_BYTES``
+    at a time, since the scan takes some 50 bytes a byte and a batch is a number of chunks of any length."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -51,7 +53,7 @@ def _runs(batches) -> Iterator[tuple[tuple, int, np.ndarray]]:
         _, offsets, data = values.buffers()
         at = np.frombuffer(offsets, np.int64)[values.offset:values.offset + len(values) + 1]
         data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-        cuts = np.flatnonzero((file[1:] != file[:-1]) | (start[1:] != start[:-1])) + 1
+        cuts = np.flatnonzero((file[1:] != file[:-1]) | (start[1:] != start[:-1]) | (at[1:-1] // RUN_BYTES != at[:-2] // RUN_BYTES)) + 1
         for i, j in zip([0, *cuts], [*cuts, len(file)]):
             ends = at[i + 1:j + 1] - at[i] + np.arange(j - i)
             own = np.empty(at[j] - at[i] + j - i, np.uint8)

@@ -88,3 +88,17 @@ def test_lines_keep_their_places_without_a_shuffle(spark, tmp_path, small_splits
     values[5]["pos"] = 0                         # a number beside records without one must not clash
     (tmp_path / "0.json").write_text("\n".join(json.dumps(v) for v in values[:100]) + "\n")
     assert readers.scan_examples(spark, str(tmp_path)).agg(F.countDistinct("pos")).first()[0] == 300
+
+
+def test_a_batch_is_scanned_in_bounded_runs(spark, tmp_path, monkeypatch):
+    """A batch is a number of chunks of any length: what is scanned at once follows bytes, and runs end at chunks."""
+    import pyarrow as pa
+    from corpusql.sources import json_array
+    values = ["x" * 3000 + str(i) for i in range(2000)]
+    batch = pa.record_batch([pa.array([1] * 2000), pa.array([0] * 1000 + [7] * 1000), pa.array(values), pa.array(["p"] * 2000)],
+                            ["file", "start", "value", "path"])
+    runs = list(json_array._runs([batch]))
+    assert max(len(data) for _, _, data in runs) <= 1_060_000 and len(runs) >= 6
+    joined = {start: b"".join(d.tobytes() for (_, s), _, d in runs if s == start).decode() for start in (0, 7)}
+    assert joined[0] == "".join(v + "}" for v in values[:1000]) and joined[7] == "".join(v + "}" for v in values[1000:])
+    assert [row for _, row, _ in runs] == sorted({row for _, row, _ in runs})
