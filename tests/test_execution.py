@@ -56,3 +56,15 @@ def test_execution_accuracy_pairs(spark):
     assert v[15]["pred_error"] is not None                       # not a query
     assert v[16]["db_found"] is False and v[16]["gold_rows"] == -1 and not v[16]["exec_match"]
     assert v[18]["exec_match"] and not v[19]["exec_match"]
+
+
+def test_rows_that_differ_only_in_their_cuts_or_nulls(spark):
+    """Rows are compared by one text each, which is shorter than the array and differs for every two rows."""
+    rows = [["a", "b"], ["ab"], ["a1:b"], ["1:a", "b"], ["a", None], ["a", "n"], [None, "a"], ["", "a"], ["a", ""], ["a"], [], ["é", "☃"], ["é☃"]]
+    keyed = _rows(spark, [(i, "gold", r) for i, r in enumerate(rows)]).select(execution.row_key("row").alias("k"))
+    assert keyed.distinct().count() == len(rows)
+    pairs = [(i * len(rows) + j, a, b) for i, a in enumerate(rows) for j, b in enumerate(rows)]
+    both = _rows(spark, [x for i, a, b in pairs for x in ((i, "gold", a), (i, "pred", b))])
+    status = _status(spark, [(i, side, None) for i, _, _ in pairs for side in ("gold", "pred")])
+    got = {r["pair_id"]: r["exec_match"] for r in execution.result_sets_equal(both, status).collect()}
+    assert got == {i: a == b for i, a, b in pairs}
