@@ -17,10 +17,11 @@ Words up to ``LONGEST`` characters are folded by Spark. The rare longer ones, wo
 pieces of equal score (runs of spaces), and words without any piece are encoded one by one. Characters
 without a piece are their UTF-8 bytes' pieces.
 
-Documents are taken in blocks of about ``BLOCK_BYTES``. A block's different words and its
-compressed texts are shuffled to the same task, which builds the lattices of the words,
-folds them, and encodes the texts. So no dictionary of all words is ever gathered,
-a word is folded once a block however often it occurs, and a hot word is no hot task.
+Documents are taken in blocks of about ``BLOCK_BYTES``, and a block numbers its different words by their
+first occurrence. The words are dealt by themselves, each is folded once for the whole corpus, and its ids go
+back to the blocks that hold it as packed rows without the words. Texts travel as the numbers of their words,
+and the block puts both together. So no dictionary of all words is ever gathered, and a hot word is no hot
+task. Answers that don't spell the block's words raise.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; white
 space and unknown characters survive the round trip (U+2581 decodes to a space, as in
@@ -31,22 +32,28 @@ from __future__ import annotations
 
 import heapq
 import struct
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard as zstd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusql.llm.common import by_batch, lean, parts_for
+from corpusql.llm.common import by_batch, lean, parts_for, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONGEST = 60
-BLOCK_BYTES = 5 << 20
+BLOCK_BYTES = 28 << 20
+CHUNK_BYTES = 2 << 20
+PART_BYTES = 2 << 20
+DECODED = 256          # rows at a time
+PLACE_BITS = 28        # of a word's number in a place; the block's is above
 UNIGRAM, BPE = 1, 2
 
 
@@ -150,6 +157,12 @@ class Model:
     def escape(self, text: str | None) -> str:
         return (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE) if text else ""
 
+    def escaped(self, column: pa.Array) -> pa.Array:
+        """``escape`` of a column."""
+        column = column.cast(pa.large_string()).fill_null("")
+        prefix = pc.if_else(pc.equal(pc.binary_length(column), 0), "", SPACE if self.dummy_prefix else "").cast(pa.large_string())
+        return pc.binary_join_element_wise(prefix, pc.replace_substring(column, " ", SPACE), pa.scalar("", pa.large_string()))
+
 
 class Cutter:
     """Cuts a text between any two characters that stand side by side in no piece: no piece reaches across, and
@@ -164,15 +177,30 @@ class Cutter:
             kinds = self.kinds[[ord(c) for c in p]]
             self.together[kinds[:-1], kinds[1:]] = True
 
+    def apart(self, codes: np.ndarray) -> np.ndarray:
+        """Whether a word ends between two characters."""
+        kinds = self.kinds[codes].astype(np.int32)
+        found = self.together.ravel()[kinds[:-1] * len(self.together) + kinds[1:]]
+        return ~found & (codes[:-1] != ord(SPACE))     # a word keeps its space
+
     def findall(self, text: str) -> list[str]:
         if not text:
             return []
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        kinds = self.kinds[codes]
-        apart = ~self.together[kinds[:-1], kinds[1:]] & (codes[:-1] != ord(SPACE))     # a word keeps its space
-        cuts = (np.flatnonzero(apart) + 1).tolist()
+        cuts = (np.flatnonzero(self.apart(np.frombuffer(text.encode("utf-32-le"), np.uint32))) + 1).tolist()
         return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
 
+    def words(self, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of a column of escaped texts, one after another, and where each text ends in them; the words are
+        slices of the texts' bytes."""
+        data, at = text_bytes(column)
+        begins = np.flatnonzero((data & 0xC0) != 0x80)      # of the characters
+        new = np.ones(len(begins), bool)
+        new[1:] = self.apart(np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32))
+        new[np.searchsorted(begins, at[:-1][at[:-1] < at[-1]])] = True
+        starts = begins[new]
+        found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data))
+        return found, np.searchsorted(starts, at[1:])
+
 
 # --- long words, one at a time ---------------------------------------------------------
 
@@ -350,24 +378,81 @@ def fold_words(words: DataFrame, model: Model, by: list[str]) -> DataFrame:
 
 # --- documents -----------------------------------------------------------------------------
 
-def _blocks(batches, model: Model):
-    """(name, rows) of blocks of about ``BLOCK_BYTES``; the same for the same scan."""
-    part, held, size, n = TaskContext.get().partitionId(), [], 0, 0
+def _blocks(batches):
+    """(block, nth, rows) in runs of up to about ``CHUNK_BYTES``, about ``BLOCK_BYTES`` of them a block; the same
+    for the same scan."""
+    block, size, nth = TaskContext.get().partitionId() << 15, 0, 0
     for batch in batches:
-        step = max(1, batch.num_rows * (4 << 20) // max(batch.nbytes, 1))
+        step = max(1, batch.num_rows * CHUNK_BYTES // max(batch.nbytes, 1))
         for i in range(0, batch.num_rows, step):
-            held.append(batch.slice(i, step))
-            size += held[-1].nbytes if step >= batch.num_rows else batch.nbytes * held[-1].num_rows // batch.num_rows
+            some = batch.slice(i, step)
+            yield block, nth, some
+            size += batch.nbytes * some.num_rows // batch.num_rows
+            nth += 1
             if size >= BLOCK_BYTES:
-                yield f"{part}-{n}", held
-                held, size, n = [], 0, n + 1
-    if held:
-        yield f"{part}-{n}", held
-
-
-def _words_of(column: pa.Array, model: Model, cut: Cutter):
-    for text in column.to_pylist():
-        yield cut.findall(model.escape(text))
+                block, size, nth = block + 1, 0, 0
+                if block >> 15 != TaskContext.get().partitionId():
+                    raise RuntimeError("more blocks in one partition than there are numbers for")
+
+
+def _numbers() -> defaultdict[str, int]:
+    """Numbers of words in the order of their first occurrence in a block."""
+    return defaultdict(count().__next__)
+
+
+def _numbered(column: pa.Array, model: Model, cut: Cutter, number: defaultdict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the texts' words, and where each text ends."""
+    words, ends = cut.words(model.escaped(column))
+    found = words.dictionary_encode()
+    of = np.array(list(map(number.__getitem__, found.dictionary.to_pylist())), np.int32)
+    if len(number) >> PLACE_BITS:
+        raise RuntimeError("more different words in one block than there are numbers for")
+    return of[found.indices.to_numpy()], ends
+
+
+def _frozen(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return zstd.compress(sink.getvalue(), 3)
+
+
+def _thawed(content: bytes) -> pa.Table:
+    with pa.ipc.open_stream(zstd.decompress(content)) as stream:
+        return stream.read_all()
+
+
+def packed_answers(places: DataFrame, wide: bool) -> DataFrame:
+    """``(block, content)``: the rows ``(place, ids)`` of a task as one compressed row per block; ``wide``: ids over
+    16 bits."""
+    def run(batches):
+        held, size = [], 0
+
+        def put():
+            place, flat, n = (np.concatenate(column) for column in zip(*held))
+            order = np.argsort(place)
+            block, k = place >> PLACE_BITS, (place & (1 << PLACE_BITS) - 1).astype(np.int32)
+            first = np.cumsum(n) - n
+            cuts = np.append(np.flatnonzero(np.append(True, block[order][1:] != block[order][:-1])), len(order))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                use = order[a:b]
+                own = n[use]
+                ids = flat[np.repeat(first[use] - np.cumsum(own) + own, own) + np.arange(own.sum())]
+                body = len(use).to_bytes(8, "little") + k[use].tobytes() + own.astype(np.int32).tobytes()
+                body += ids.astype(np.uint32 if wide else np.uint16).tobytes()
+                yield pa.record_batch([pa.array([block[use[0]]]), pa.array([zstd.compress(body, 1)], pa.binary())], ["block", "content"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat, starts, n = _flat(batch.column(1))
+            held.append((batch.column(0).to_numpy(), flat[starts[0]:starts[0] + n.sum()], n))
+            size += batch.num_rows
+            if size >= 1 << 20:
+                yield from put()
+                held, size = [], 0
+        if held:
+            yield from put()
+    return places.mapInArrow(lean(run), "block bigint, content binary")
 
 
 def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -375,62 +460,95 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     cut, fits, least = model.cutter(), fitting(model), 2 if model.kind == BPE else 1
+    wide = len(model.pieces) > 1 << 16
+    bytes_of = np.array([1 if t == 6 else len(p.encode()) for p, t in zip(model.pieces, model.types)])
 
     def ask(batches):
-        for name, held in _blocks(batches, model):
-            seen: set[str] = set()
-            for batch in held:
-                for words in _words_of(batch.column(1), model, cut):
-                    seen.update(words)
-            own = [w for w in seen if least <= len(w) <= LONGEST]
+        def words_of(block, number):
+            own = [(w, k) for w, k in number.items() if least <= len(w) <= LONGEST]
             for i in range(0, len(own), 50_000):
-                some = own[i:i + 50_000]
-                yield pa.record_batch([pa.array([name] * len(some)), pa.array(some)], ["block", "word"])
+                some, k = zip(*own[i:i + 50_000])
+                yield pa.record_batch([pa.array(some), pa.array(np.array(k) | block << PLACE_BITS)], ["word", "place"])
+        last, number = None, _numbers()
+        for block, _, batch in _blocks(batches):
+            if block != last:
+                yield from words_of(last, number)
+                last, number = block, _numbers()
+            _numbered(batch.column(1), model, cut, number)
+        yield from words_of(last, number)
 
     def carry(batches):
-        for name, held in _blocks(batches, model):
-            table = pa.Table.from_batches(held)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as out:
-                out.write_table(table)
-            yield pa.record_batch([pa.array([name]), pa.array([zstd.compress(sink.getvalue(), 1)], pa.binary())], ["block", "content"])
+        # texts travel as the numbers of their words, the words once a block, in the first row of it
+        def put(block, nth, rows, told):
+            return pa.record_batch([pa.array([block]), pa.array([nth], pa.int32()), pa.array([_frozen(rows)], pa.binary()),
+                                    pa.array([zstd.compress(told.tobytes(), 3)], pa.binary())], ["block", "nth", "rows", "told"])
+
+        def words_of(block, number):
+            if number:
+                yield put(block, -1, pa.record_batch([pa.array(list(number), pa.large_string())], ["word"]), np.zeros(0, np.int32))
+        last, number = None, _numbers()
+        for block, nth, batch in _blocks(batches):
+            if block != last:
+                yield from words_of(last, number)
+                last, number = block, _numbers()
+            told, ends = _numbered(batch.column(1), model, cut, number)
+            rows = pa.record_batch([batch.column(0), pa.array(ends, pa.int64())], ["doc_id", "end"])
+            yield put(block, nth, rows, np.ascontiguousarray(told.view(np.uint8).reshape(-1, 4).T))     # alike bytes side by side
+        yield from words_of(last, number)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("nth")
+        words = pa.array([], pa.large_string())
+        if left.column("nth")[0].as_py() < 0:
+            words = _thawed(left.column("rows")[0].as_py()).column("word").combine_chunks()
+            left = left.slice(1)
+        sizes, parts = np.zeros(len(words), np.int64), []
+        for content in right.column("content"):
+            body = zstd.decompress(content.as_py())
+            n = int.from_bytes(body[:8], "little")
+            k, own = np.frombuffer(body, np.int32, n, 8), np.frombuffer(body, np.int32, n, 8 + 4 * n)
+            sizes[k] = own
+            parts.append((k, own, np.frombuffer(body, np.uint32 if wide else np.uint16, offset=8 + 8 * n)))
+        # words that are not for the lattice
+        alone = np.flatnonzero(sizes == 0)
+        more: list[int] = []
+        for k in alone.tolist():
+            word = words[k].as_py()
+            if fits(word):
+                raise RuntimeError(f"the lattice has lost a word of {len(word)} characters")
+            ids = encode_word(word, model)
+            sizes[k] = len(ids)
+            more += ids
+        parts.append((alone, sizes[alone], np.array(more, np.int64)))
         # one flat array of all words' ids; a word is its number in it
-        number = {word: k for k, word in enumerate(right.column("word").to_pylist())}
-        flat, starts, sizes = _flat(right.column("ids"))
-        more: list[list[int]] = []           # of words that are not for the lattice
+        starts = np.cumsum(sizes) - sizes
+        flat = np.zeros(int(sizes.sum()), np.int32)
+        for k, own, ids in parts:
+            own = own.astype(np.int64)
+            flat[np.repeat(starts[k] - np.cumsum(own) + own, own) + np.arange(len(ids))] = ids
+        spelt = np.add.reduceat(bytes_of[flat], starts) if len(starts) else sizes
+        if (spelt != pc.binary_length(words).to_numpy()).any():
+            raise RuntimeError("answers that don't spell the words they are for")
         out = []
-        for content in left.column("content"):
-            with pa.ipc.open_stream(zstd.decompress(content.as_py())) as stream:
-                for batch in stream:
-                    told, ends = [], []
-                    for words in _words_of(batch.column(1), model, cut):
-                        for word in words:
-                            if word not in number:
-                                if fits(word):
-                                    raise RuntimeError(f"the lattice has lost a word of {len(word)} characters")
-                                more.append(encode_word(word, model))
-                                number[word] = len(sizes) + len(more) - 1
-                        told += [number[word] for word in words]
-                        ends.append(len(told))
-                    if more:
-                        added = np.array([len(ids) for ids in more], np.int64)
-                        starts = np.append(starts, len(flat) + np.cumsum(added) - added)
-                        sizes, flat = np.append(sizes, added), np.append(flat, np.array([i for ids in more for i in ids], np.int32))
-                        more = []
-                    told = np.array(told, np.int64)
-                    n = sizes[told]
-                    ids = flat[np.repeat(starts[told] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                    offsets = np.append(0, np.cumsum(n))[np.append(0, ends).astype(np.int64)].astype(np.int32)
-                    out.append(pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))],
-                                               ["doc_id", "ids"]))
-        return pa.Table.from_batches(out)
-    # words and texts are shuffled once, by block; lattice, fold and encoding follow in place
-    parts = parts_for(docs, BLOCK_BYTES // 4)      # few blocks share a part, so sorts fit in memory
-    asked = rows.mapInArrow(lean(ask), "block string, word string").repartition(parts, "block")
-    carried = rows.mapInArrow(lean(carry), "block string, content binary").repartition(parts, "block")
-    answers = fold_words(asked, model, ["block", "word"])
+        for rows, told in zip(left.column("rows"), left.column("told")):
+            rows = _thawed(rows.as_py()).combine_chunks()
+            of = np.ascontiguousarray(np.frombuffer(zstd.decompress(told.as_py()), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+            n = sizes[of]
+            offsets = np.zeros(len(of) + 1, np.int64)
+            np.cumsum(n, out=offsets[1:])
+            ids = flat[np.repeat(starts[of] - offsets[:-1], n) + np.arange(offsets[-1])]
+            ends = offsets[np.append(0, rows.column("end").to_numpy())].astype(np.int32)
+            names = rows.column("doc_id")
+            out.append(pa.table([names, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], ["doc_id", "ids"]))
+        return pa.concat_tables(out)
+    # Every different word is folded once: words are dealt by themselves, their ids go back to the blocks that hold them
+    parts = parts_for(docs, PART_BYTES)
+    asked = rows.mapInArrow(lean(ask), "word string, place bigint").repartition(parts, "word")
+    # the largest place is asked for so that both readers have the same columns, and so the same shuffle
+    words = asked.groupBy("word").agg(F.max("place").alias("place")).where("place >= 0").select("word")
+    ids = fold_words(words, model, ["word"])
+    answers = packed_answers(asked.join(ids.hint("shuffle_hash"), "word").select("place", "ids"), wide).repartition(parts, "block")
+    carried = rows.mapInArrow(lean(carry), "block bigint, nth int, rows binary, told binary").repartition(parts, "block")
     return carried.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, f"doc_id {kind}, ids array<int>")
 
 
@@ -457,13 +575,17 @@ def decode(encoded: DataFrame, model: Model, ids_col: str = "ids") -> DataFrame:
     content = [bytes([int(p[1:-1], 16)]) if t == 6 else p.replace(SPACE, " ").encode() if t in (1, 4) else b""
                for p, t in zip(model.pieces, model.types)]
 
-    def run(batch):
+    def run(whole):
+        for i in range(0, whole.num_rows, DECODED):
+            yield texts_of(whole.slice(i, DECODED))
+
+    def texts_of(batch):
         texts = []
         for ids in _slices(pa.chunked_array([batch.column(batch.schema.get_field_index(ids_col)).fill_null([])])):
-            text = b"".join([content[i] for i in ids.tolist()])
+            text = b"".join(map(content.__getitem__, ids.tolist()))
             texts.append(text[1:] if model.dummy_prefix and text[:1] == b" " else text)
-        yield pa.record_batch([*batch.columns, pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())],
-                              [*batch.schema.names, "decoded"])
+        return pa.record_batch([*batch.columns, pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())],
+                               [*batch.schema.names, "decoded"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(by_batch(run), f"{schema}, decoded string")
 

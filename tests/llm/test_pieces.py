@@ -138,3 +138,31 @@ def test_a_word_that_the_lattice_loses_raises(spark, monkeypatch):
     monkeypatch.setattr(pieces, "fold_words", lambda *a: whole(*a).where("word != '▁world'"))
     with pytest.raises(Exception, match="lost a word"):
         pieces.encode(table(spark, [(1, "hello world", "en", "a")]), model).collect()
+
+
+def test_a_word_is_folded_once_for_all_blocks(spark, monkeypatch):
+    """Every partition is a block of its own, and the blocks' words are dealt by themselves."""
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    model = pieces.Model.load(pieces.MODEL)
+    whole, asked = pieces.fold_words, []
+
+    def folded(words, *more):
+        asked.append(words)
+        return whole(words, *more)
+    monkeypatch.setattr(pieces, "fold_words", folded)
+    rows = [(k, f"the same words in every text 😀 and{'x' * k} {'=' * 70}", "en", "a") for k in range(12)] + [(12, None, "en", "a"), (13, "", "en", "a")]
+    got = {r.doc_id: r.ids for r in pieces.encode(table(spark, rows).repartition(6), model).collect()}
+    assert got == {k: library.encode(t or "") for k, t, _, _ in rows}
+    words = [r.word for df in asked for r in df.select("word").collect()]
+    assert "▁same" in words and len(words) == len(set(words))
+
+
+def test_words_of_a_column_are_those_of_its_texts():
+    import pyarrow as pa
+    model = pieces.Model.load(pieces.MODEL)
+    cut = model.cutter()
+    texts = [None, "", *TEXTS, "", None, "日本語と한국어", ""]
+    for column in (pa.array(texts), pa.array(["x y", *texts, "z"]).slice(1, len(texts)), pa.array(["", None]), pa.array([], pa.string())):
+        words, ends = cut.words(model.escaped(column))
+        bounds = [0, *ends.tolist()]
+        assert [words.to_pylist()[a:b] for a, b in zip(bounds, bounds[1:])] == [cut.findall(model.escape(t)) for t in column.to_pylist()]
