@@ -49,8 +49,8 @@ from corpusql.llm.common import by_batch, lean, parts_for, text_bytes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONGEST = 60
-BLOCK_BYTES = 28 << 20
-CHUNK_BYTES = 2 << 20
+BLOCK_BYTES = 14 << 20
+CHUNK_BYTES = 1 << 20
 PART_BYTES = 2 << 20
 DECODED = 256          # rows at a time
 PLACE_BITS = 28        # of a word's number in a place; the block's is above
@@ -438,7 +438,8 @@ def packed_answers(places: DataFrame, wide: bool) -> DataFrame:
                 use = order[a:b]
                 own = n[use]
                 ids = flat[np.repeat(first[use] - np.cumsum(own) + own, own) + np.arange(own.sum())]
-                body = len(use).to_bytes(8, "little") + k[use].tobytes() + own.astype(np.int32).tobytes()
+                # the lattice's words are short, so their ids are fewer than 256
+                body = len(use).to_bytes(8, "little") + np.diff(k[use], prepend=np.int32(0)).tobytes() + own.astype(np.uint8).tobytes()
                 body += ids.astype(np.uint32 if wide else np.uint16).tobytes()
                 yield pa.record_batch([pa.array([block[use[0]]]), pa.array([zstd.compress(body, 1)], pa.binary())], ["block", "content"])
         for batch in batches:
@@ -465,10 +466,14 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def ask(batches):
         def words_of(block, number):
-            own = [(w, k) for w, k in number.items() if least <= len(w) <= LONGEST]
-            for i in range(0, len(own), 50_000):
-                some, k = zip(*own[i:i + 50_000])
-                yield pa.record_batch([pa.array(some), pa.array(np.array(k) | block << PLACE_BITS)], ["word", "place"])
+            words = pa.array(list(number), pa.large_string())
+            size = pc.utf8_length(words).to_numpy()
+            own = np.flatnonzero((size >= least) & (size <= LONGEST))
+            words = words.take(own)
+            order = pc.sort_indices(words).to_numpy()      # in order they compress better
+            for i in range(0, len(order), 50_000):
+                some = order[i:i + 50_000]
+                yield pa.record_batch([words.take(some).cast(pa.string()), pa.array(own[some] | block << PLACE_BITS)], ["word", "place"])
         last, number = None, _numbers()
         for block, _, batch in _blocks(batches):
             if block != last:
@@ -506,9 +511,9 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for content in right.column("content"):
             body = zstd.decompress(content.as_py())
             n = int.from_bytes(body[:8], "little")
-            k, own = np.frombuffer(body, np.int32, n, 8), np.frombuffer(body, np.int32, n, 8 + 4 * n)
+            k, own = np.cumsum(np.frombuffer(body, np.int32, n, 8)), np.frombuffer(body, np.uint8, n, 8 + 4 * n)
             sizes[k] = own
-            parts.append((k, own, np.frombuffer(body, np.uint32 if wide else np.uint16, offset=8 + 8 * n)))
+            parts.append((k, own, np.frombuffer(body, np.uint32 if wide else np.uint16, offset=8 + 5 * n)))
         # words that are not for the lattice
         alone = np.flatnonzero(sizes == 0)
         more: list[int] = []
@@ -536,7 +541,9 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             n = sizes[of]
             offsets = np.zeros(len(of) + 1, np.int64)
             np.cumsum(n, out=offsets[1:])
-            ids = flat[np.repeat(starts[of] - offsets[:-1], n) + np.arange(offsets[-1])]
+            at = np.repeat(starts[of] - offsets[:-1], n)
+            at += np.arange(offsets[-1])
+            ids = flat[at]
             ends = offsets[np.append(0, rows.column("end").to_numpy())].astype(np.int32)
             names = rows.column("doc_id")
             out.append(pa.table([names, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], ["doc_id", "ids"]))
