@@ -41,7 +41,8 @@ LENGTH, CODE_BITS = 4, 21            # of an n-gram, and of a code point
 QUANTILE = 0.99
 MARGIN = 1.03           # of the quantile, for clean texts that are a little rarer still
 PRIOR = 100             # symbols of average trusted text that every document is read with
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
+STREAM = 2 << 20        # bytes of text that travel as one row
 PIECE = 1 << 20         # bytes of text that are handled at once
 _TABLE = 1 << 22        # entries of a lookup table
 _START = 0x0A           # a document begins like a line
@@ -132,7 +133,8 @@ def block_ids(docs: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """``(block, rows)``: the rows of a block as compressed Arrow streams."""
+    """``(block, rows)``: the rows of a block as compressed Arrow streams of about ``STREAM`` bytes of text each, as a
+    row that holds a whole block takes several times its size where rows are sorted and sent to Python."""
     text = docs.columns.index("text")
 
     def run(batches):
@@ -141,7 +143,10 @@ def packed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            for block, part in _parts(batch, blocks.of(_lengths(batch.column(text)))):
+            lengths = _lengths(batch.column(text))
+            places = blocks.of(lengths)
+            # a new stream where a block begins or STREAM bytes are full
+            for part, block in streams(batch, lengths, places):
                 sink = pa.BufferOutputStream()
                 # a copy, so that a slice doesn't bring its whole batch
                 with pa.ipc.new_stream(sink, part.schema, options=options) as stream:
@@ -151,6 +156,14 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(lean(run), "block bigint, rows binary")
 
 
+def streams(batch: pa.RecordBatch, lengths: np.ndarray, blocks: np.ndarray):
+    """(rows, block) of a batch's runs of one block and of about ``STREAM`` bytes of text."""
+    before = (np.cumsum(lengths) - lengths) // STREAM
+    cuts = [0, *(np.flatnonzero(np.diff(blocks) | np.diff(before)) + 1), len(blocks)]
+    for i, j in zip(cuts, cuts[1:]):
+        yield batch.slice(i, j - i), int(blocks[i])
+
+
 def _unpacked(group: pa.Table):
     for rows in group.column("rows"):
         yield from pa.ipc.open_stream(rows.as_buffer())

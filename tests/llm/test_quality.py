@@ -150,3 +150,15 @@ def test_the_model_stays_out_of_the_driver(spark, monkeypatch):
     good, bad = _documents()
     labels = spark.createDataFrame([(r[0], 1) for r in good], "doc_id bigint, quality int")
     assert quality.classify(table(spark, good + bad), labels).where("keep").count() >= 0.95 * len(good)
+
+
+def test_no_row_holds_a_whole_block():
+    """Texts of one block travel in several streams, each of them whole texts in their order."""
+    import numpy as np
+    import pyarrow as pa
+    batch = pa.record_batch([pa.array(range(9))], ["doc_id"])
+    lengths = np.array([0, 3, 1, 1, 0, 5, 1, 0, 1]) * quality.STREAM // 2
+    blocks = np.array([4] * 7 + [5, 5])
+    found = [(rows.column(0).to_pylist(), block) for rows, block in quality.streams(batch, lengths, blocks)]
+    assert [k for rows, _ in found for k in rows] == list(range(9)) and {b for rows, b in found if 8 in rows or 7 in rows} == {5}
+    assert all(sum(lengths[k] for k in rows[:-1]) < quality.STREAM for rows, _ in found) and len(found) > 4
