@@ -3,17 +3,19 @@
 Vectors are split by dimension into ``lists``; a list knows only its own partial
 scores. The phases, for every query:
 
-1. each list gathers its best ``k`` partial scores, block by block; the candidates'
-   whole scores are worked out, and the k-th best of them is a safe cutoff ``c``;
+1. each list gathers its best ``k`` partial scores from every group of vector blocks, block
+   by block; the candidates' whole scores are worked out, and the k-th best of them is a safe
+   cutoff ``c``;
 2. the cutoff is handed to every block of every list, which reports all entries whose partial
    score is at least ``c / lists``: what no list reports scores less than ``c``;
-3. entries reported by some lists only get an upper bound; those it doesn't rule out
-   are worked out exactly, and the best ``k`` are the result.
+3. entries reported by some lists only get an upper bound; those it doesn't rule out against
+   the scores known by then are worked out exactly, and the best ``k`` are the result.
 
 Equal vectors are searched once. Each stands for its ``k + 1`` smallest ids, which are
 all that ties to the smaller id can let into a result, so a vector that a third of the
-rows share is one entry. Vectors and queries meet in blocks, every block of queries
-with every block of vectors.
+rows share is one entry. Vectors and queries meet in groups of blocks, every group of queries
+with every group of vectors, each in one task through a shuffle (never a broadcast); entries travel packed, by pair
+of blocks. A group is about ``GROUP_BYTES``, so the number of groups follows the rows.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows
 without an id, take no part; shorter vectors count as if zeros followed; rows with the
@@ -25,6 +27,9 @@ below 2**53.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +37,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusql.llm.common import stored
+from corpusql.llm.common import lean, stored
 
 SCALE = 256
 BLOCK = 2048           # vectors of a block
 QUERY_BLOCK = 512
-SPREAD = 64            # groups of vector blocks that meet all query blocks in tasks of their own
+GROUP_BYTES = 1 << 23  # of vectors or queries, as doubles, that meet in one task
+ENTRIES = 1 << 16      # entries of a packed row, at most
 SALTS = 64
 
 
@@ -77,10 +83,24 @@ def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
     return found
 
 
+def narrow(m: np.ndarray) -> np.ndarray:
+    """The whole numbers of ``m`` in as few bytes as hold them."""
+    low, high = m.min(initial=0.0), m.max(initial=0.0)
+    for kind in (np.int16, np.int32):
+        if np.iinfo(kind).min <= low and high <= np.iinfo(kind).max:
+            return m.astype(kind)
+    return m
+
+
+def widened(data: bytes, rows: int, width: int) -> np.ndarray:
+    kinds = {2: np.int16, 4: np.int32, 8: np.float64}
+    return np.frombuffer(data, kinds[len(data) // (rows * width)]).reshape(rows, width)
+
+
 def blocks(vectors: DataFrame, lists: int, dims: int, size: int, extra: list[str]) -> DataFrame:
     """Vectors packed into blocks per list: ``(list, block, keys, matrix, ..)``; columns of
-    ``extra`` are doubles."""
-    edges = [dims * i // lists for i in range(lists + 1)]
+    ``extra`` have 8 bytes a value."""
+    edges = _edges(lists, dims)
 
     def pack(batches):
         part, n = TaskContext.get().partitionId(), 0
@@ -93,7 +113,7 @@ def blocks(vectors: DataFrame, lists: int, dims: int, size: int, extra: list[str
                 keys = b"".join(some.column("key").to_pylist())
                 more = [some.column(c).to_numpy(zero_copy_only=False).tobytes() for c in extra]
                 for j in range(lists):
-                    own = np.ascontiguousarray(whole[:, edges[j]:edges[j + 1]])
+                    own = narrow(np.ascontiguousarray(whole[:, edges[j]:edges[j + 1]]))
                     yield pa.record_batch([pa.array([j], pa.int32()), pa.array([part * 1_000_003 + n], pa.int64()),
                                            pa.array([keys]), pa.array([own.tobytes()]),
                                            *(pa.array([m]) for m in more)],
@@ -103,62 +123,219 @@ def blocks(vectors: DataFrame, lists: int, dims: int, size: int, extra: list[str
         pack, "list int, block bigint, keys binary, matrix binary" + "".join(f", {c} binary" for c in extra))
 
 
-def meet(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Every block of queries beside every block of vectors of the same list."""
-    group = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))
-    q = queries.withColumnsRenamed({c: f"q_{c}" for c in queries.columns if c != "list"}).withColumn("at", group)
-    return vectors.withColumn("at", F.pmod("block", F.lit(SPREAD)).cast("int")).join(q, ["list", "at"])
+def _edges(lists: int, dims: int) -> list[int]:
+    return [dims * i // lists for i in range(lists + 1)]
+
+
+QUERIES, VECTORS, PAIRS = 0, 1, 2     # kinds of rows that meet, in the order they come
+
+
+class Grid:
+    """Groups of vector blocks (``at``) and of query blocks (``q_at``), as many as their rows need."""
 
+    def __init__(self, vectors: DataFrame, queries: DataFrame, dims: int, size: int):
+        self.at, self.q_at = (max(1, -(-df.count() * dims * 8 // size)) for df in (vectors, queries))
 
-PARTIAL = "q_key binary, key binary, list int, partial double"
+    def vectors(self, df: DataFrame) -> DataFrame:
+        return self._spread(df.withColumn("at", self._of("block", self.at)), "q_at", self.q_at).withColumn("kind", F.lit(VECTORS))
 
+    def queries(self, df: DataFrame) -> DataFrame:
+        df = df.withColumnRenamed("block", "q_block")
+        return self._spread(df.withColumn("q_at", self._of("q_block", self.q_at)), "at", self.at).withColumn("kind", F.lit(QUERIES))
 
-def _partials(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys = np.frombuffer(row["keys"], "V16")
-    q_keys = np.frombuffer(row["q_keys"], "V16")
-    v = np.frombuffer(row["matrix"]).reshape(len(keys), -1)
-    q = np.frombuffer(row["q_matrix"]).reshape(len(q_keys), -1)
-    return q_keys, keys, q @ v.T
+    def pairs(self, df: DataFrame) -> DataFrame:
+        return (df.withColumn("at", self._of("block", self.at)).withColumn("q_at", self._of("q_block", self.q_at))
+                .withColumn("kind", F.lit(PAIRS)))
 
+    @staticmethod
+    def _of(block: str, groups: int) -> Column:
+        return F.pmod(block, F.lit(groups)).cast("int")
 
-def _rows(q_keys, keys, which, scores, at_list) -> pa.RecordBatch:
-    qi, vi = which
-    return pa.record_batch([pa.array(q_keys[qi].tolist(), pa.binary()), pa.array(keys[vi].tolist(), pa.binary()),
-                            pa.array(np.full(len(qi), at_list, np.int32)), pa.array(scores[qi, vi])],
-                           ["q_key", "key", "list", "partial"])
+    @staticmethod
+    def _spread(df: DataFrame, name: str, groups: int) -> DataFrame:
+        return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
 
-def _each(batches):
+def meet(keys: list[str], *kinds: DataFrame) -> DataFrame:
+    """All rows of the same ``keys`` in one task, one after another in the order of their kinds and blocks."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "kind", "block", "q_block", "list")
+
+
+def _each(batches) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
 
 
-def local_best(k: int):
-    def run(batches):
-        for row in _each(batches):
-            q_keys, keys, scores = _partials(row)
-            n = min(k, len(keys))
-            best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-            yield _rows(q_keys, keys, (np.repeat(np.arange(len(q_keys)), n), best.ravel()), scores, row["list"])
-    return run
+def _met(batches, keys: list[str]):
+    return groupby(_each(batches), lambda row: tuple(row[c] for c in keys))
 
 
-def above_cutoff(lists: int):
-    def run(batches):
-        for row in _each(batches):
-            q_keys, keys, scores = _partials(row)
-            cutoff = np.frombuffer(row["q_cutoff"])[:, None] / lists
-            yield _rows(q_keys, keys, np.nonzero(scores >= cutoff), scores, row["list"])
-    return run
+def _matrix(row: dict, edges: list[int]) -> np.ndarray:
+    return widened(row["matrix"], len(row["keys"]) // 16, edges[row["list"] + 1] - edges[row["list"]])
+
+
+def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Partial scores of all pairs; in single precision where that is exact."""
+    most = [max(float(m.max()), -float(m.min())) for m in (q, v)]
+    kind = np.float32 if most[0] * most[1] * q.shape[1] < 1 << 24 else np.float64
+    return q.astype(kind) @ v.astype(kind).T
+
 
+def _share(cutoff: np.ndarray, lists: int) -> np.ndarray:
+    """A list's part of the cutoff, up to the next whole number as partial scores are."""
+    return np.ceil(cutoff / lists)
 
-def resolved(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``(q_key, key, score)``: whole scores of ``(q_key, key)`` rows."""
-    products = F.zip_with("q_v", "v", lambda a, b: F.coalesce(a * b, F.lit(0.0)))
-    return (pairs.join(vectors.select("key", "v"), "key")
-            .join(queries.select(F.col("key").alias("q_key"), F.col("v").alias("q_v")), "q_key")
-            .select("q_key", "key", F.aggregate(products, F.lit(0.0), lambda s, x: s + x).alias("score")))
+
+PACKED = "list int, block bigint, q_block bigint, qi binary, vi binary, partial binary"
+
+
+def _packed(at_list: int, block: int, q_block: int, qi: np.ndarray, vi: np.ndarray, partial: np.ndarray) -> Iterator[tuple]:
+    for i in range(0, len(qi), ENTRIES):
+        own = slice(i, i + ENTRIES)
+        yield (at_list, block, q_block, qi[own].astype(np.uint16).tobytes(), vi[own].astype(np.uint16).tobytes(),
+               partial[own].tobytes())
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
+                           ["list", "block", "q_block", "qi", "vi", "partial"])
+
+
+class Best:
+    """The best ``k`` entries of each of ``n`` queries so far: by score, then by the lesser ``first``."""
+
+    def __init__(self, n: int, k: int, cutoff: np.ndarray | None = None):
+        self.n, self.k = n, k
+        self.qi, self.block, self.vi, self.first = (np.zeros(0, np.int64) for _ in range(4))
+        self.score = np.zeros(0)
+        self.least = np.full(n, -np.inf) if cutoff is None else cutoff.copy()     # what a new entry must reach
+
+    def add(self, qi: np.ndarray, block: int, vi: np.ndarray, score: np.ndarray, first: np.ndarray) -> None:
+        if not len(qi):
+            return
+        new = qi, np.full(len(qi), block), vi, first, score
+        qi, block, vi, first, score = (np.concatenate(x) for x in zip((self.qi, self.block, self.vi, self.first, self.score), new))
+        order = np.lexsort((first, -score, qi))
+        starts = np.searchsorted(qi[order], np.arange(self.n + 1))
+        order = order[np.arange(len(order)) - starts[qi[order]] < self.k]
+        self.qi, self.block, self.vi, self.first, self.score = (x[order] for x in (qi, block, vi, first, score))
+        ends = np.searchsorted(self.qi, np.arange(self.n + 1))
+        full = np.flatnonzero(np.diff(ends) == self.k)
+        self.least[full] = self.score[ends[full + 1] - 1]
+
+
+def local_best(k: int, edges: list[int]):
+    """The ``k`` best partial scores of each query in a list's group, packed. Which of equal ones is all the same."""
+    def run(batches):
+        for (at_list, *_), rows in _met(batches, ["list", "at", "q_at"]):
+            queries: dict[int, tuple[np.ndarray, Best]] = {}
+            for row in rows:
+                m = _matrix(row, edges)
+                if row["kind"] == QUERIES:
+                    queries[row["q_block"]] = m, Best(len(m), k)
+                    continue
+                for q, best in queries.values():
+                    scores = _scores(q, m)
+                    hits = np.flatnonzero(scores > best.least[:, None].astype(scores.dtype))
+                    if len(hits) > 8 * k * best.n:
+                        own = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else scores.min(axis=1)
+                        hits = np.flatnonzero((scores >= own[:, None]) & (scores > best.least[:, None]))
+                    qi, vi = np.divmod(hits, scores.shape[1])
+                    best.add(qi, row["block"], vi, scores.ravel()[hits].astype(np.float64), vi)
+            found = [x for name, (_, best) in queries.items() for block in np.unique(best.block)
+                     for own in [best.block == block]
+                     for x in _packed(at_list, int(block), name, best.qi[own], best.vi[own], best.score[own])]
+            if found:
+                yield _batch(found)
+    return lean(run)
+
+
+def above_cutoff(lists: int, edges: list[int]):
+    """Every entry of a list that reaches its part of the cutoff, packed."""
+    def run(batches):
+        for (at_list, *_), rows in _met(batches, ["list", "at", "q_at"]):
+            queries: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for row in rows:
+                m = _matrix(row, edges)
+                if row["kind"] == QUERIES:
+                    queries[row["q_block"]] = m, _share(np.frombuffer(row["cutoff"]), lists)[:, None]
+                    continue
+                for name, (q, cutoff) in queries.items():
+                    scores = _scores(q, m)
+                    hits = np.flatnonzero(scores >= cutoff.astype(scores.dtype))
+                    found = list(_packed(at_list, row["block"], name, *np.divmod(hits, scores.shape[1]), scores.ravel()[hits]))
+                    if found:
+                        yield _batch(found)
+    return lean(run)
+
+
+def resolved(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, grid: Grid, lists: int, edges: list[int], k: int) -> DataFrame:
+    """``(q_key, key, score)``: whole scores of packed ``pairs``, of each query the ``k`` best of each group. Where query
+    blocks have a ``cutoff``, pairs are those of the second phase: what all lists report is summed, the rest is bounded,
+    and worked out if the bound reaches the cutoff and the scores known so far."""
+    def run(batches):
+        for _, rows in _met(batches, ["at", "q_at"]):
+            queries: dict[int, dict] = {}
+            vectors: dict[int, dict] = {}
+            wholes: tuple[int | None, np.ndarray] = None, np.zeros((0, 0))
+            for (kind, block, q_block), own in groupby(rows, lambda row: (row["kind"], row["block"], row["q_block"])):
+                parts = list(own)
+                if kind == PAIRS:
+                    q, v = queries[q_block], vectors[block]
+                    if wholes[0] != block:
+                        wholes = block, np.hstack(v["matrices"]).astype(np.float64)
+                    entries = _joined(parts, len(wholes[1]))
+                    _work_out(q, v, block, wholes[1], *entries, lists)
+                    continue
+                x = {"keys": np.frombuffer(parts[0]["keys"], "V16"), "matrices": [_matrix(row, edges) for row in parts]}
+                if kind == QUERIES:
+                    n = len(x["keys"])
+                    cutoff = np.frombuffer(parts[0]["cutoff"]) if parts[0].get("cutoff") is not None else None
+                    queries[q_block] = x | {"whole": np.hstack(x["matrices"]).astype(np.float64), "cutoff": cutoff, "best": Best(n, k, cutoff)}
+                else:
+                    vectors[block] = x | {"first": np.frombuffer(parts[0]["first"], np.int64)}
+            for q in queries.values():
+                best = q["best"]
+                keys = np.zeros(len(best.qi), "V16")
+                for block in np.unique(best.block):
+                    keys[best.block == block] = vectors[int(block)]["keys"][best.vi[best.block == block]]
+                if len(keys):
+                    yield pa.record_batch([pa.array(q["keys"][best.qi].tolist(), pa.binary()), pa.array(keys.tolist(), pa.binary()),
+                                           pa.array(best.score)], ["q_key", "key", "score"])
+    met = meet(["at", "q_at"], grid.queries(queries), grid.vectors(vectors), grid.pairs(pairs))
+    return met.mapInArrow(lean(run), "q_key binary, key binary, score double")
+
+
+def _joined(parts: list[dict], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, sum of the partial scores, lists that report it) of each different entry."""
+    qi, vi = (np.concatenate([np.frombuffer(row[c], np.uint16) for row in parts]).astype(np.int64) for c in ("qi", "vi"))
+    partial = np.concatenate([np.frombuffer(row["partial"], {2: np.float32, 4: np.float64}[len(row["partial"]) // len(row["vi"])])
+                              .astype(np.float64) for row in parts])
+    flat, where, n = np.unique(qi * width + vi, return_inverse=True, return_counts=True)
+    return *np.divmod(flat, width), np.bincount(where, partial, len(flat)), n
+
+
+def _work_out(q: dict, v: dict, block: int, whole: np.ndarray, qi, vi, part, n, lists: int, at_once: int = 1 << 13) -> None:
+    """Adds the whole scores of a pair of blocks to the best of its queries."""
+    best, cutoff = q["best"], q["cutoff"]
+
+    def add(own, scores):
+        fits = scores >= best.least[qi[own]]
+        best.add(qi[own][fits], block, vi[own][fits], scores[fits], v["first"][vi[own][fits]])
+
+    open_ = np.arange(len(qi))
+    if cutoff is not None:
+        known = n == lists
+        add(np.flatnonzero(known), part[known])
+        unseen = np.where(known, 0, _share(cutoff, lists)[qi] - 1)     # at most, in a list that doesn't report it
+        bound = part + np.where(known, 0, lists - n) * unseen
+        open_ = np.flatnonzero(~known & (bound >= best.least[qi]))
+    for i in range(0, len(open_), at_once):
+        own = open_[i:i + at_once]
+        add(own, np.einsum("ij,ij->i", q["whole"][qi[own]], whole[vi[own]]))
 
 
 def best_of(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -167,33 +344,29 @@ def best_of(rows: DataFrame, by: list[str], order: list[Column], k: int) -> Data
 
 
 def search(df: DataFrame, is_query: Column, k: int = 5, lists: int = 2, id_col: str = "vec_id",
-           vector_col: str = "embedding") -> DataFrame:
+           vector_col: str = "embedding", block: int = BLOCK, query_block: int = QUERY_BLOCK,
+           group: int = GROUP_BYTES) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` best of each row where ``is_query``, a
-    condition on ``vec_id``, holds."""
+    condition on ``vec_id``, holds. ``block`` and ``query_block`` (65,536 at most) and ``group`` change no result."""
     rows = stored(whole_vectors(df, id_col, vector_col), "topk-rows")
     vectors = stored(distinct_vectors(rows, k + 1), "topk-vectors")
     asked = stored(distinct_vectors(rows.where(is_query), 1).select("key", "v"), "topk-queries")
     dims = max(1, rows.agg(F.max(F.size("v")).alias("n")).first()["n"] or 1)
     lists = min(lists, dims)
+    edges, grid, by_list = _edges(lists, dims), Grid(vectors, asked, dims, group), ["list", "at", "q_at"]
     k_vectors = k + 1     # the query's own vector may stand for the query alone
 
-    tables = stored(blocks(vectors, lists, dims, BLOCK, []), "topk-blocks")
-    first = meet(stored(blocks(asked, lists, dims, QUERY_BLOCK, []), "topk-query-blocks"), tables)
-    first = best_of(first.mapInArrow(local_best(k_vectors), PARTIAL), ["q_key", "list"],
-                    [F.col("partial").desc()], k_vectors)
-    known = resolved(first.select("q_key", "key").distinct(), asked, vectors)
+    tables = stored(blocks(vectors.withColumn("first", F.element_at("ids", 1)), lists, dims, block, ["first"]), "topk-blocks")
+    questions = stored(blocks(asked, lists, dims, query_block, []), "topk-query-blocks")
+    first = meet(by_list, grid.queries(questions), grid.vectors(tables)).mapInArrow(local_best(k_vectors, edges), PACKED)
+    known = resolved(first, questions, tables, grid, lists, edges, k_vectors)
     kth = (best_of(known, ["q_key"], [F.col("score").desc()], k_vectors).groupBy("q_key")
            .agg(F.when(F.count("*") == k_vectors, F.min("score")).otherwise(F.lit(float("-inf"))).alias("cutoff")))
-    cut = stored(asked.join(kth.withColumnRenamed("q_key", "key"), "key"), "topk-cutoffs")
-
-    second = meet(stored(blocks(cut, lists, dims, QUERY_BLOCK, ["cutoff"]), "topk-query-blocks"), tables)
-    seen = (second.mapInArrow(above_cutoff(lists), PARTIAL).groupBy("q_key", "key")
-            .agg(F.sum("partial").alias("part"), F.count("*").alias("n"))
-            .join(cut.select(F.col("key").alias("q_key"), "cutoff"), "q_key"))
-    bound = F.col("part") + (lists - F.col("n")) * F.col("cutoff") / lists
-    open_ = stored(seen.where((F.col("n") == lists) | (bound >= F.col("cutoff"))), "topk-entries")
-    exact = (open_.where(F.col("n") == lists).select("q_key", "key", F.col("part").alias("score"))
-             .unionByName(resolved(open_.where(F.col("n") < lists).select("q_key", "key"), asked, vectors)))
+    cut = asked.join(kth.withColumnRenamed("q_key", "key"), "key")
+
+    questions = stored(blocks(cut, lists, dims, query_block, ["cutoff"]), "topk-query-blocks")
+    second = meet(by_list, grid.queries(questions), grid.vectors(tables)).mapInArrow(above_cutoff(lists, edges), PACKED)
+    exact = resolved(second, questions, tables, grid, lists, edges, k_vectors)
     # ties at the last place: of equal vectors' scores those with the smallest ids count
     ranked = (exact.join(vectors.select("key", "ids"), "key")
               .withColumn("rank", F.row_number().over(Window.partitionBy("q_key").orderBy(
