@@ -65,5 +65,5 @@ def test_many_groups_and_large_components(spark, lists):
     rows += [(201, [8_500_000.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     for k in (1, 4):
-        got = topk.search(df, F.col("vec_id") % 5 == 0, k=k, lists=lists, block=7, query_block=3, group=400).collect()
+        got = topk.search(df, F.col("vec_id") % 5 == 0, k=k, lists=lists, block=7, query_block=3, group=100, most=400).collect()
         assert {tuple(r) for r in got} == _brute([(i, v + [0.0] * (6 - len(v))) for i, v in rows], lambda i: i % 5 == 0, k)
